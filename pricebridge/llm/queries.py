@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricebridge.llm import exact_dedup, mixing, sharding, topk, warc
-from pricebridge.llm.common import new_path
+from pricebridge.llm.common import cut, new_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,7 +22,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(_read(spark, sf_dir, "pages"), path)
-    return warc.captures(warc.read_warc(spark, path))
+    # three kinds of records are joined: the archives are read once for all of them
+    return warc.captures(cut(warc.read_warc(spark, path, payload=False), "records"))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
