@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricebridge.llm import exact_dedup, mixing, sharding, topk, warc
+from pricebridge.llm import bpe, exact_dedup, licenses, mixing, sharding, simhash, suffix_dedup, topk, warc
 from pricebridge.llm.common import cut, new_path
 
 
@@ -15,6 +16,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.suffix_dedup(_read(spark, sf_dir, "documents"), 400, with_text=False)
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_read(spark, sf_dir, "documents"))
 
@@ -30,16 +36,31 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"), 8, new_path(spark, "slot-map"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), path), path)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op3_warc, op4_topk, op6_sharding, op8_exact_dedup)
+    f.__name__: f
+    for f in (op1_suffix_dedup, op2_mixing, op3_warc, op4_topk, op5_licenses, op6_sharding, op7_bpe, op8_exact_dedup, op9_simhash)
 }
 
 ORACLES: dict[str, str] = {
