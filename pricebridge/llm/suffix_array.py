@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import cut, drop_cut, partitions
+from pricebridge.llm.common import cut, drop_cut, partitions, release
 
 
 def _run_counts(run: list[str], keep: list[str]):
@@ -49,8 +49,10 @@ def _run_counts(run: list[str], keep: list[str]):
             heads = np.flatnonzero(new)
             which = np.searchsorted(heads, np.arange(n), side="right") - 1
             before = [np.where(which >= 0, seen[k] + c[heads[np.maximum(which, 0)]] if len(heads) else start[k], start[k]) for k, c in ((0, zeros), (1, ones))]
+            # keys are looked at in a partition's first and last run only
+            inner = (before[0] + before[1] > 0) & (which < which[-1])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(at[c]) for c in keep), *(pa.array(k) for k in keys), pa.array(np.full(n, part, np.int32)), pa.array(kind), pa.array(before[0]), pa.array(before[1])],
+                [*(batch.column(at[c]) for c in keep), *(pa.array(np.where(inner, 0, k)) for k in keys), pa.array(np.full(n, part, np.int32)), pa.array(kind), pa.array(before[0]), pa.array(before[1])],
                 names=[*keep, *(f"k{j}" for j in range(len(run))), "part", "kind", "l0", "l1"],
             )
             start = np.array([before[0][-1], before[1][-1]])
@@ -110,6 +112,7 @@ def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
         deeper = suffix_ranks(after, depth)
         ranks = deeper.select(F.floor(F.col("z") / 2).alias("z"), (F.col("i") * 3 + F.col("z") % 2 + 1).alias("i"), (F.col("rank") + 1).alias("r"))
     full = level.join(ranks, ["z", "i"], "left").withColumn("r", F.coalesce("r", F.lit(0)))
+    release(strings.sparkSession)
     full = cut(full.select("z", "i", "c", "c1", "r", ahead("r", 1).alias("r1"), ahead("r", 2).alias("r2")), "full")
     drop_cut(names)
     drop_cut(level)
@@ -123,6 +126,7 @@ def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
     )
     out = cut(share.groupBy("z", "i").agg(F.sum("s").alias("rank")), "ranks")
     drop_cut(full)
+    release(strings.sparkSession)
     if deeper is not None:
         drop_cut(deeper)
     return out

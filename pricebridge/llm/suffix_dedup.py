@@ -10,7 +10,7 @@
 4. Neighbours in that order whose phrases agree over the next `reach` bytes form a class. Every window that repeats has
    its first boundary that both occurrences must share in one class, so the remaining suffixes, those that begin at any
    byte, are compared within classes only: first all windows of a boundary at once, by the bytes that they cover, then,
-   for what differs, each window by its m bytes.
+   for what differs but agrees in the bytes that all windows of a boundary share, each window by its m bytes.
 
 Compared are 128-bit hashes of the bytes, with 64-bit ones before them.
 """
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import batches, cut, drop_cut, small, texts
+from pricebridge.llm.common import batches, cut, drop_cut, release, small, texts
 from pricebridge.llm.licenses import _BYTE, _powers  # byte weights and powers of the rolling hash
 from pricebridge.llm.suffix_array import ranked, suffix_ranks
 
@@ -48,15 +48,15 @@ class Shape:
 
     @property
     def k(self) -> int:  # bytes of a k-gram
-        return max(2, min(8, self.m // 16))
+        return max(2, min(16, self.m // 25))
 
     @property
     def r(self) -> int:  # a boundary's hash is the least within so many positions
-        return max(1, self.m // 40)
+        return max(1, self.m // 25)
 
     @property
     def g(self) -> int:  # where no boundary is within so many positions, each position is one
-        return max(1, self.m // 10)
+        return max(1, self.m * 9 // 100)
 
     @property
     def gap(self) -> int:  # greatest distance of boundaries
@@ -84,14 +84,15 @@ class Shape:
 
 
 def _hashes(buf: np.ndarray, k: int) -> np.ndarray:
-    """32-bit hashes of the k-grams at all positions."""
+    """32-bit hashes of the k-grams at all positions, k at most 16: of their first and of their last 8 bytes."""
     n = len(buf) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint32)
-    x = np.zeros(n, np.uint64)
-    for i in range(k):
-        x |= buf[i : i + n].astype(np.uint64) << np.uint64(8 * i)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    word = np.zeros(len(buf) - min(k, 8) + 1, np.uint64)
+    for i in range(min(k, 8)):
+        word |= buf[i : i + len(word)].astype(np.uint64) << np.uint64(8 * i)
+    word = (word ^ (word >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = word[:n] + (word[k - 8 : k - 8 + n] * np.uint64(0xD6E8FEB86659FD93) if k > 8 else np.uint64(0))
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
     return (x >> np.uint64(32)).astype(np.uint32)
 
@@ -186,12 +187,13 @@ def read_texts(docs: DataFrame, s: Shape, id_col: str, text_col: str) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pos long, doc_id long, sha binary, n_bytes long, at array<long>, core array<long>")
 
 
-_SYMBOL = "z long, i long, c long, b long, pos long, at long, lo long, hi long, prefix long, cover0 long, cover1 long"
+_SYMBOL = "z long, i long, c long, b long, pos long, at long, lo long, hi long, prefix long, inner long, cover0 long, cover1 long"
 
 
 def phrases(zone_texts: DataFrame, s: Shape) -> DataFrame:
     """The symbols of all zones: string z, number i, symbol c of b bytes; where it begins (pos, at); the windows that are
-    its own (lo to hi); a hash of the phrases of the next `reach` bytes, and one of all bytes that its windows cover."""
+    its own (lo to hi); hashes of the phrases of the next `reach` bytes, of the bytes that all its windows share, and of
+    all bytes that they cover."""
 
     def symbols(z: int, pos: int, text: bytes, marks: list[int]) -> Iterator[tuple]:
         b, n = boundaries(text, s), len(text)
@@ -213,7 +215,9 @@ def phrases(zone_texts: DataFrame, s: Shape) -> DataFrame:
                 for j in range(len(own)):
                     x, y = int(lo[j]), int(hi[j])
                     whole = xxhash.xxh3_128_intdigest(text[x : y + s.m]) if y >= x else 0
-                    yield z + zone, step - first + j, int(c[j]), int(after[j] - own[j]), pos, int(own[j]), x, y, int(p[j]) - (1 << 63), (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
+                    at = int(own[j])
+                    inner = xxhash.xxh3_64_intdigest(text[max(0, at - s.left) : at + s.m - s.left - s.gap + 1])
+                    yield z + zone, step - first + j, int(c[j]), int(after[j] - at), pos, at, x, y, int(p[j]) - (1 << 63), inner - (1 << 63), (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _SYMBOL.split(", ")]
@@ -233,12 +237,12 @@ def phrases(zone_texts: DataFrame, s: Shape) -> DataFrame:
 
 
 def _windows(zone_texts: DataFrame, groups: DataFrame, m: int) -> DataFrame:
-    """Every window of the given boundaries: class, l (distance to the boundary), w0, w1 (hash of its bytes), pos, start, n."""
-    held = groups.groupBy("pos").agg(F.collect_list(F.struct("class", "at", "lo", "hi", "n")).alias("bounds"))
+    """Every window of the given boundaries: w0, w1 (hash of its bytes), pos, start, n."""
+    held = groups.groupBy("pos").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("bounds"))
     rows = zone_texts.select("pos", "text").join(held, "pos").select("pos", "text", "bounds")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(x, pa.int64()) for x in ("class", "l", "w0", "w1", "pos", "start", "n")])
+        schema = pa.schema([(x, pa.int64()) for x in ("w0", "w1", "pos", "start", "n")])
 
         def each() -> Iterator[tuple]:
             for batch in it:
@@ -246,11 +250,11 @@ def _windows(zone_texts: DataFrame, groups: DataFrame, m: int) -> DataFrame:
                     for x in bounds:
                         for start in range(x["lo"], x["hi"] + 1):
                             w = xxhash.xxh3_128_intdigest(text[start : start + m])
-                            yield x["class"], x["at"] - start, (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63), pos, start, x["n"]
+                            yield (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63), pos, start, x["n"]
 
         yield from batches(each(), schema, size=1 << 15)
 
-    return rows.mapInArrow(run, "class long, l long, w0 long, w1 long, pos long, start long, n long")
+    return rows.mapInArrow(run, "w0 long, w1 long, pos long, start long, n long")
 
 
 def repeated(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -269,6 +273,7 @@ def repeated(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: st
     wanted = cut(marks.join(twice, "core").groupBy("pos").agg(F.collect_list("at").alias("marks")), "marks")
     sought = cut(wanted.join(table.select("pos", "doc_id", "sha"), "pos").select("pos", "marks", F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")), "sought")
     drop_cut(wanted)
+    release(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ids = small(sought.select("__id").distinct())
     near = plain.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").withColumn("sha", F.unhex(F.sha2("text", 256)))
@@ -277,22 +282,26 @@ def repeated(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: st
         found = found.dropDuplicates(["pos"])  # rows that repeat id and text
     zone_texts = cut(found, "zones")
     symbols = cut(phrases(zone_texts, s), "symbols")
-    ranks = suffix_ranks(symbols.select("z", "i", "c", "b"), m)
+    # suffixes that agree over `reach` bytes need no further order
+    ranks = suffix_ranks(symbols.select("z", "i", "c", "b"), s.reach)
     ordered = cut(ranks.join(symbols.drop("c", "b"), ["z", "i"]).withColumn("kind", F.lit(0)), "ordered")
     drop_cut(ranks)
-    keep = ["pos", "at", "lo", "hi", "cover0", "cover1"]
+    keep = ["pos", "at", "lo", "hi", "inner", "cover0", "cover1"]
     # neighbours in the order of suffixes that agree over the next phrases are one class
     classes = ranked(ordered, ["rank"], ["prefix"], keep, ["prefix", "z", "i"])
     members = cut(classes.filter("lo <= hi").select(F.col("n0").alias("class"), *keep), "members")
     drop_cut(ordered)
-    sig = ["class", "l0", "l1", "cover0", "cover1"]
+    drop_cut(symbols)
+    release(docs.sparkSession)
+    sig = ["class", "inner", "l0", "l1", "cover0", "cover1"]
     members = members.withColumns({"l0": F.col("at") - F.col("lo"), "l1": F.col("at") - F.col("hi")})
     kinds = cut(members.groupBy(*sig).agg(F.count("*").alias("n"), F.min(F.struct("pos", "at", "lo", "hi")).alias("one")), "kinds")
     same = members.join(kinds.filter("n > 1").select(*sig), sig, "left_semi").select("pos", "lo", "hi")
-    mixed = kinds.groupBy("class").agg(F.count("*").alias("k")).filter("k > 1").select("class")
-    unclear = kinds.join(mixed, "class").select("class", "n", "one.*")
+    # windows can only be equal where boundaries of a class agree in the bytes that all their windows share
+    mixed = kinds.groupBy("class", "inner").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select("class", "inner")
+    unclear = kinds.join(mixed, ["class", "inner"]).select("n", "one.*")
     windows = cut(_windows(zone_texts, unclear, m), "windows")
-    key = ["class", "l", "w0", "w1"]
+    key = ["w0", "w1"]
     again = windows.groupBy(*key).agg(F.count("*").alias("k")).filter("k > 1").select(*key)
     single = windows.filter("n = 1").join(again, key, "left_semi").select("pos", F.col("start").alias("lo"), F.col("start").alias("hi"))
     ranges = cut(same.unionByName(single).groupBy("pos").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
