@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricebridge.llm import bpe, exact_dedup, licenses, mixing, sharding, simhash, suffix_dedup, topk, warc
+from pricebridge.llm import bpe, exact_dedup, licenses, mixing, sharding, simhash, suffix_dedup, topk, toxicity, warc
 from pricebridge.llm.common import cut, new_path
 
 
@@ -58,9 +58,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_mixing, op3_warc, op4_topk, op5_licenses, op6_sharding, op7_bpe, op8_exact_dedup, op9_simhash)
+    for f in (op1_suffix_dedup, op2_mixing, op3_warc, op4_topk, op5_licenses, op6_sharding, op7_bpe, op8_exact_dedup, op9_simhash, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {
