@@ -43,8 +43,8 @@ class Shape:
     m: int = 400
 
     def __post_init__(self):
-        if self.m < 24:
-            raise ValueError("windows have at least 24 bytes")
+        if self.m < 32:
+            raise ValueError("windows have at least 32 bytes")
 
     @property
     def k(self) -> int:  # bytes of a k-gram
@@ -52,15 +52,23 @@ class Shape:
 
     @property
     def r(self) -> int:  # a boundary's hash is the least within so many positions
-        return max(1, self.m // 25)
+        return max(1, self.m * 9 // 200)
 
     @property
-    def g(self) -> int:  # where no boundary is within so many positions, each position is one
-        return max(1, self.m * 9 // 100)
+    def g(self) -> int:  # where no such boundary is within so many positions, there are finer ones:
+        return max(1, self.m * 21 // 200)
+
+    @property
+    def fine_r(self) -> int:  # those whose hash is the least within so many positions,
+        return max(1, self.m // 130)
+
+    @property
+    def fine_g(self) -> int:  # and every position that has no such one within so many
+        return max(1, self.m // 50)
 
     @property
     def gap(self) -> int:  # greatest distance of boundaries
-        return 2 * self.g + 1
+        return 2 * self.g + 2 * self.fine_g + 2
 
     @property
     def left(self) -> int:  # bytes before and from a position on that decide whether it is a boundary
@@ -83,17 +91,23 @@ class Shape:
         return self.m - self.head + 1
 
 
-def _hashes(buf: np.ndarray, k: int) -> np.ndarray:
+def _hashes(text: bytes, k: int) -> np.ndarray:
     """32-bit hashes of the k-grams at all positions, k at most 16: of their first and of their last 8 bytes."""
-    n = len(buf) - k + 1
+    n = len(text) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint32)
-    word = np.zeros(len(buf) - min(k, 8) + 1, np.uint64)
-    for i in range(min(k, 8)):
-        word |= buf[i : i + len(word)].astype(np.uint64) << np.uint64(8 * i)
-    word = (word ^ (word >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = word[:n] + (word[k - 8 : k - 8 + n] * np.uint64(0xD6E8FEB86659FD93) if k > 8 else np.uint64(0))
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    size = min(k, 8)
+    if size == 8:
+        word = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))  # 8 bytes from each position on
+    else:
+        buf, word = np.frombuffer(text, np.uint8), np.zeros(len(text) - size + 1, np.uint64)
+        for i in range(size):
+            word |= buf[i : i + len(word)].astype(np.uint64) << np.uint64(8 * i)
+    x = word[:n] * np.uint64(0xBF58476D1CE4E5B9)
+    if k > 8:
+        x ^= word[k - 8 : k - 8 + n] * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
     return (x >> np.uint64(32)).astype(np.uint32)
 
 
@@ -107,11 +121,12 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 class _Rolling:
-    """64-bit hashes of any stretch of a buffer."""
+    """64-bit hashes of any stretch of a buffer; other weights of the bytes give an independent one."""
 
-    def __init__(self, buf: np.ndarray):
+    def __init__(self, buf: np.ndarray, weights: np.ndarray = _BYTE):
         self.up, self.down = _powers(len(buf) + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * self.up[: len(buf)])])
+        self.sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(weights[buf] * self.up[: len(buf)], out=self.sums[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x = (self.sums[b] - self.sums[a]) * self.down[a]
@@ -119,12 +134,16 @@ class _Rolling:
         return x ^ (x >> np.uint64(29))
 
 
+_OTHER = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+
+
 def anchors(text: bytes, s: Shape) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes of the bytes that all windows of the anchor hold) of a text's anchors."""
     at, cores = [], []
     for start in range(0, len(text) - s.m + 1, PIECE):
-        buf = np.frombuffer(text[start : start + PIECE + s.m - 1], np.uint8)
-        h = _hashes(buf, s.k)[: len(buf) - s.m + s.head].astype(np.uint64) << np.uint64(32)
+        piece = text[start : start + PIECE + s.m - 1]
+        buf = np.frombuffer(piece, np.uint8)
+        h = _hashes(piece, s.k)[: len(buf) - s.m + s.head].astype(np.uint64) << np.uint64(32)
         least = _sliding_min(h | np.arange(len(h), dtype=np.uint64), s.head)
         found = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
         found = found[np.concatenate([[True], found[1:] != found[:-1]])]
@@ -137,23 +156,36 @@ def anchors(text: bytes, s: Shape) -> tuple[np.ndarray, np.ndarray]:
     return at[first], cores[first]
 
 
+def _far(points: np.ndarray, d: int, n: int) -> list[tuple[int, int]]:
+    """Ranges of the positions below n that have no point within d."""
+    ends = np.concatenate([[-d - 1], points, [n + d]])
+    wide = np.flatnonzero(np.diff(ends) > 2 * d + 1)
+    return [(int(ends[i]) + d + 1, int(ends[i + 1]) - d) for i in wide]
+
+
 def boundaries(text: bytes, s: Shape) -> np.ndarray:
     """Positions of a text at which a phrase begins."""
     n = len(text) - s.k + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    least = []
+    coarse, fine = [], []
     for start in range(0, n, PIECE):
         a, b = max(0, start - s.r), min(len(text), start + PIECE + s.r + s.k - 1)
-        h = _hashes(np.frombuffer(text[a:b], np.uint8), s.k)
-        edge = np.full(s.r, 0xFFFFFFFF, np.uint32)
-        padded = np.concatenate([edge, h, edge])
-        own = np.flatnonzero(h <= _sliding_min(padded, 2 * s.r + 1)) + a
-        least.append(own[(own >= start) & (own < start + PIECE)])
-    found = np.concatenate(least)
-    ends = np.concatenate([[-s.g - 1], found, [n + s.g]])
-    filled = [np.arange(x + s.g + 1, y - s.g) for x, y in zip(ends[:-1], ends[1:], strict=True) if y - x > 2 * s.g + 1]
-    return np.sort(np.concatenate([found, *filled])) if filled else found
+        h = _hashes(text[a:b], s.k)
+        for r, out in ((s.r, coarse), (s.fine_r, fine)):
+            edge = np.full(r, 0xFFFFFFFF, np.uint32)
+            own = np.flatnonzero(h <= _sliding_min(np.concatenate([edge, h, edge]), 2 * r + 1)) + a
+            out.append(own[(own >= start) & (own < start + PIECE)])
+    coarse, fine = np.concatenate(coarse), np.concatenate(fine)
+    bare = _far(coarse, s.g, n)
+    if not bare:
+        return coarse
+    inside = np.zeros(n, bool)
+    for a, b in bare:
+        inside[a:b] = True
+    every = [np.arange(a, b) for a, b in _far(fine, s.fine_g, n)]
+    more = np.concatenate([fine, *every])
+    return np.unique(np.concatenate([coarse, more[inside[more]]]))
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
@@ -195,43 +227,48 @@ def phrases(zone_texts: DataFrame, s: Shape) -> DataFrame:
     its own (lo to hi); hashes of the phrases of the next `reach` bytes, of the bytes that all its windows share, and of
     all bytes that they cover."""
 
-    def symbols(z: int, pos: int, text: bytes, marks: list[int]) -> Iterator[tuple]:
+    def symbols(z: int, pos: int, text: bytes, marks: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows of _SYMBOL as columns of one array, a piece of a zone at a time."""
         b, n = boundaries(text, s), len(text)
-        marks = sorted(marks)
-        for zone, (a, e) in enumerate(_merged([(max(0, x - s.head + 1), x + s.m) for x in marks])):
+        for zone, (a, e) in enumerate(_merged([(max(0, x - s.head + 1), x + s.m) for x in sorted(marks)])):
             first, last = np.searchsorted(b, a), np.searchsorted(b, min(e, n), side="right") - 1
-            if last <= first:
-                continue
-            for step in range(first, last, PIECE // 8):
-                own = b[step : min(last, step + PIECE // 8)]
-                reach = b[np.minimum(np.searchsorted(b, own + s.reach), len(b) - 1)]
+            for step in range(first, last, PIECE // 16):
+                own = b[step : min(last, step + PIECE // 16)]
                 after = b[step + 1 : step + 1 + len(own)]
-                base = int(own[0])
-                roll = _Rolling(np.frombuffer(text[base : int(max(reach[-1], after[-1]))], np.uint8))
-                c = (roll.of(own - base, after - base) >> np.uint64(1)) | np.uint64(1)
-                p = roll.of(own - base, np.maximum(reach, own) - base)
                 before = np.concatenate([[b[step - 1] if step else -1], own[:-1]])
+                reach = np.maximum(b[np.minimum(np.searchsorted(b, own + s.reach), len(b) - 1)], own)
                 lo, hi = np.maximum(before - s.left + 1, 0), np.minimum(own - s.left, n - s.m)
-                for j in range(len(own)):
-                    x, y = int(lo[j]), int(hi[j])
-                    whole = xxhash.xxh3_128_intdigest(text[x : y + s.m]) if y >= x else 0
-                    at = int(own[j])
-                    inner = xxhash.xxh3_64_intdigest(text[max(0, at - s.left) : at + s.m - s.left - s.gap + 1])
-                    yield z + zone, step - first + j, int(c[j]), int(after[j] - at), pos, at, x, y, int(p[j]) - (1 << 63), inner - (1 << 63), (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
+                inner0, inner1 = np.maximum(own - s.left, 0), np.minimum(own + s.m - s.left - s.gap + 1, n)
+                cover = np.maximum(hi + s.m, lo)
+                base = int(min(lo[0], inner0[0]))
+                buf = np.frombuffer(text[base : int(max(reach[-1], after[-1], inner1.max(), cover.max()))], np.uint8)
+                one, two = _Rolling(buf), _Rolling(buf, _OTHER)
+                c = (one.of(own - base, after - base) >> np.uint64(1)) | np.uint64(1)
+                same = np.full(len(own), 1, np.int64)
+                yield np.stack(
+                    [
+                        same * (z + zone), np.arange(len(own)) + (step - first), c.view(np.int64), after - own, same * pos, own, lo, hi,
+                        one.of(own - base, reach - base).view(np.int64), one.of(inner0 - base, np.maximum(inner0, inner1) - base).view(np.int64),
+                        one.of(lo - base, cover - base).view(np.int64), two.of(lo - base, cover - base).view(np.int64),
+                    ]
+                )
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _SYMBOL.split(", ")]
-        schema = pa.schema([(x, pa.int64()) for x in names])
-
-        def rows() -> Iterator[tuple]:
-            z = TaskContext.get().partitionId() << 34
-            for batch in it:
-                at = batch.schema.get_field_index("marks")
-                for pos, marks, text in zip(batch.column(batch.schema.get_field_index("pos")).to_pylist(), batch.column(at).to_pylist(), texts(batch, "text"), strict=True):
-                    yield from symbols(z, pos, text, marks)
-                    z += len(marks) + 1
-
-        yield from batches(rows(), schema, size=1 << 15)
+        z, held, rows = TaskContext.get().partitionId() << 34, [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(held, 1)], names=names)
+        for batch in it:
+            at = batch.schema.get_field_index("marks")
+            for pos, marks, text in zip(batch.column(batch.schema.get_field_index("pos")).to_pylist(), batch.column(at), texts(batch, "text"), strict=True):
+                for part in symbols(z, pos, text, marks.values.to_numpy().tolist()):
+                    held.append(part)
+                    rows += part.shape[1]
+                    if rows >= 1 << 16:
+                        yield out()
+                        held, rows = [], 0
+                z += len(marks.values) + 1
+        if held:
+            yield out()
 
     return zone_texts.select("pos", "marks", "text").mapInArrow(run, _SYMBOL)
 
@@ -259,7 +296,7 @@ def _windows(zone_texts: DataFrame, groups: DataFrame, m: int) -> DataFrame:
 
 def repeated(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, ranges, zone texts): rows has pos, doc_id, sha, n_bytes, copies of every row of docs; ranges has the starts
-    (lo to hi) of repeated windows by pos, for texts that have only one row or fewer bytes than a window has."""
+    (arrays lo, hi: from and to) of repeated windows by pos, for texts that have only one row or fewer bytes than a window has."""
     s = Shape(m)
     table = cut(read_texts(docs, s, id_col, text_col), "texts")
     rows = table.select("pos", "doc_id", "sha", "n_bytes")
@@ -269,8 +306,9 @@ def repeated(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: st
     spare = small(cut(rows.filter("pos <> first").select("pos"), "spare"))
     once = table.join(spare, "pos", "left_anti")
     marks = once.select("pos", F.explode(F.arrays_zip("at", "core")).alias("x")).select("pos", F.col("x.at").alias("at"), F.col("x.core").alias("core"))
-    twice = marks.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
-    wanted = cut(marks.join(twice, "core").groupBy("pos").agg(F.collect_list("at").alias("marks")), "marks")
+    # written first: a join with the bare aggregate could not split a frequent core; broadcast, after a count, while it is small
+    twice = cut(marks.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "twice")
+    wanted = cut(marks.join(small(twice, 500_000), "core").groupBy("pos").agg(F.collect_list("at").alias("marks")), "marks")
     sought = cut(wanted.join(table.select("pos", "doc_id", "sha"), "pos").select("pos", "marks", F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")), "sought")
     drop_cut(wanted)
     release(docs.sparkSession)
@@ -304,13 +342,21 @@ def repeated(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: st
     key = ["w0", "w1"]
     again = windows.groupBy(*key).agg(F.count("*").alias("k")).filter("k > 1").select(*key)
     single = windows.filter("n = 1").join(again, key, "left_semi").select("pos", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    ranges = cut(same.unionByName(single).groupBy("pos").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    ranges = cut(same.unionByName(single).groupBy("pos").agg(F.collect_list(F.struct("lo", "hi")).alias("r")).select("pos", "r.lo", "r.hi"), "ranges")
     return rows, ranges, zone_texts
 
 
 _RESULT = "pos long, spans array<struct<start:long,end:long>>, n_removed long, kept binary"
 
 
+def _union(lo: np.ndarray, hi: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the unions of windows of m bytes that start at lo to hi."""
+    order = np.argsort(lo, kind="stable")
+    lo, end = lo[order], np.maximum.accumulate(hi[order] + m)
+    new = np.concatenate([[True], lo[1:] > end[:-1]])
+    return lo[new], end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(lo) - 1]])]
+
+
 def _apply(m: int, with_text: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -318,11 +364,10 @@ def _apply(m: int, with_text: bool):
 
         def rows() -> Iterator[tuple]:
             for batch in it:
-                for pos, text, ranges in zip(batch.column(0).to_pylist(), texts(batch, "text"), batch.column(2).to_pylist(), strict=True):
-                    spans = _merged([(x["lo"], x["hi"] + m) for x in ranges])
-                    edges = [0, *(e for span in spans for e in span), len(text)]
-                    kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    yield pos, [{"start": a, "end": b} for a, b in spans], sum(b - a for a, b in spans), kept if with_text else hashlib.sha256(kept).digest()
+                for pos, text, lo, hi in zip(batch.column(0).to_pylist(), texts(batch, "text"), batch.column(2), batch.column(3), strict=True):
+                    starts, ends = (x.tolist() for x in _union(lo.values.to_numpy(), hi.values.to_numpy(), m))
+                    kept = b"".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)], strict=True))
+                    yield pos, [{"start": a, "end": b} for a, b in zip(starts, ends, strict=True)], len(text) - len(kept), kept if with_text else hashlib.sha256(kept).digest()
 
         yield from batches(rows(), schema, weigh=lambda r: len(r[3]))
 
