@@ -19,12 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import texts
+from pricebridge.llm.common import limit_batches, texts
 
 #: Words of more bytes are merged with a heap.
 LONG = 128
 #: Words whose ids a task remembers; beyond that it forgets them all.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: How byte-level tokenizers of this kind cut text into words (a fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
@@ -168,6 +168,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
 
+    limit_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -183,4 +184,5 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
                 out = [None if not v.is_valid else t.decode(v.values.to_numpy(zero_copy_only=False)) for v in col.slice(a, b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), col.slice(a, b - a), pa.array(out, pa.string())], names=["doc_id", "ids", "text"])
 
+    limit_batches(rows.sparkSession)
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, text string")

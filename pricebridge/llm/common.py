@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,19 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Rows and bytes of a batch that goes to a Python worker, at most. With Spark's own 10,000 rows a worker would hold tens
+#: of MB of text several times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Small batches for Python workers; a session that has smaller ones keeps them."""
+    for key, most in BATCH.items():
+        told = re.match(r"(-?\d+)b?$", spark.conf.get(key, "") or spark.conf.get(key))
+        if not told or not 0 < int(told[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

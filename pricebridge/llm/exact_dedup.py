@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import cut, partitions, small, texts
+from pricebridge.llm.common import cut, limit_batches, partitions, small, texts
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _DIGEST = "pos long, doc_id long, sha binary, witness long, norm_bytes long, code_points long"
@@ -54,6 +54,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             )
             at += len(raw)
 
+    limit_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _DIGEST)
 
 

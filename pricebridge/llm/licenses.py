@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import cut, small, texts
+from pricebridge.llm.common import cut, limit_batches, small, texts
 
 #: Words of a k-gram; the shortest phrase has two.
 K = 2
@@ -198,6 +198,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null texts are empty texts: no words, empty strings, score 0. Repeated rows get the same answer each; an empty table
     gives no rows; other columns are ignored.
     """
+    limit_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
     diagonal = F.struct("template", "diagonal", "votes", "first_at", "last_at")
     found = cut(votes(rows).groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(diagonal).alias("diagonals")), "diagonals")

@@ -13,12 +13,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from pricebridge.llm.common import limit_batches
 
 UNIT_BITS = 24
 UNIT = 1 << UNIT_BITS
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def n_words(text: pd.Series) -> pd.Series:
     """Runs of [^\\x20\\x09-\\x0D]; null has none."""
     return text.map(lambda t: 0 if t is None else len(t.encode("utf-8", "surrogatepass").split())).astype("int64")
@@ -51,6 +54,7 @@ def mix(rows: DataFrame, size: Column, source_col: str = "source", id_col: str =
     Rows of size 0 may be emitted too and take no words. A null source is a source. Rows that are equal in id and size
     are interchangeable, so reruns agree. An empty table gives no rows. Columns that begin with __ must not exist.
     """
+    limit_batches(rows.sparkSession)
     rows = rows.withColumn("__size", size)
     keys = rows.select(F.col(source_col).alias("source"), F.col("__size").alias("size"), F.col(id_col).alias("id"))
     total = keys.agg(F.count("*").alias("n")).first()["n"]

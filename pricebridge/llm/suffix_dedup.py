@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import batches, cut, drop_cut, release, small, texts
+from pricebridge.llm.common import batches, cut, drop_cut, limit_batches, release, small, texts
 from pricebridge.llm.licenses import _BYTE, _powers  # byte weights and powers of the rolling hash
 from pricebridge.llm.suffix_array import ranked, suffix_ranks
 
@@ -216,6 +216,7 @@ def read_texts(docs: DataFrame, s: Shape, id_col: str, text_col: str) -> DataFra
 
         yield from batches(rows(), schema, weigh=lambda r: 200 + 16 * len(r[4]))
 
+    limit_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pos long, doc_id long, sha binary, n_bytes long, at array<long>, core array<long>")
 
 

@@ -25,13 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricebridge.llm.common import limit_batches
+
 MOST_DOCS, MOST_BYTES = 2000, 16384
 #: Different words before a word that make it one of toxic text, at least, and how many times as many as in ordinary text.
 LEAST_BEFORE, TIMES_MORE = 4, 12
 TOXIC_BYTES, ORDINARY_BYTES = 2560, 3072
 WINDOW = 48
 PIECE = 1 << 20
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 HEAD, TAIL = b" the primer of all windows, which both know ", b" and all that follows it, known to both "
 LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -250,6 +252,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "s
         for s in parts:
             yield pd.Series([scorer.score(t.encode("utf-8", "surrogatepass") if t is not None else b"") for t in s], dtype="float64")
 
+    limit_batches(docs.sparkSession)
     return docs.withColumn(name, F.pandas_udf("double")(run)(F.col(text_col).cast("string")))
 
 

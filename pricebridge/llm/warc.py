@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import batches, texts
+from pricebridge.llm.common import batches, limit_batches, texts
 
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -34,6 +34,7 @@ def digested(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
             raw = texts(batch, "payload")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in raw], pa.int64()), pa.array([sha1_base32(b) for b in raw])], names=["page_id", "payload_bytes", "payload_digest"])
 
+    limit_batches(pages.sparkSession)
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(payload_col).cast("string").alias("payload")).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string")
 
 
@@ -174,6 +175,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
         schema = pa.schema([("type", s), ("record_id", s), ("concurrent_to", s), ("refers_to", s), ("uri", s), ("date", s), ("headers", pa.map_(s, s)), ("payload_bytes", pa.int64()), ("payload_digest", s), ("block", pa.binary()), ("payload", pa.binary())])
         yield from batches(rows(), schema, size=2048, weigh=lambda r: len(r[9] or b"") + len(r[10] or b""))
 
+    limit_batches(spark)
     return spark.read.schema("value string").option("lineSep", END.decode()).text(path).mapInArrow(run, RECORDS)
 
 
