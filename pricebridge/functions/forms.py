@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pricebridge.dims import FAMILIES, FORMS, LIST_RANK, MODIFIERS
-from pricebridge.functions.text import fold_text, has
+from pricebridge.functions.text import has
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
@@ -27,15 +27,11 @@ def _phrases(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
-def canonical_form_of_folded(key: Column) -> Column:
-    """The base of a folded form: the whole, else a part between slashes, else its longest and leftmost known phrase, else itself."""
+def canonical_form(key: Column) -> Column:
+    """The base of a folded form: the whole, else a part between slashes, else its longest and leftmost known phrase, else
+    itself; unknown for null. Fold in a step before: Spark has no lambda over the result of a Python function."""
     words = F.split(key, " ")
-    return F.coalesce(lookup(FORMS, key), _first_known(F.split(key, r"[/\n]+")), *(_first_known(_phrases(words, n)) for n in (3, 2, 1)), key)
-
-
-def canonical_form(raw: Column) -> Column:
-    """The base of a form as written; unknown for null."""
-    return F.coalesce(canonical_form_of_folded(fold_text(raw)), F.lit("unknown"))
+    return F.coalesce(lookup(FORMS, key), _first_known(F.split(key, r"[/\n]+")), *(_first_known(_phrases(words, n)) for n in (3, 2, 1)), key, F.lit("unknown"))
 
 
 def form_family(form: Column) -> Column:

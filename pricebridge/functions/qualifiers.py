@@ -43,7 +43,7 @@ _FIELDS = "struct<unit_type:string,unit_count:double,volume:double,container:str
 def price_and_qualifier(cell: Column) -> Column:
     """struct(price, qualifier): both null where the cell is no price."""
     price = F.regexp_extract(cell, _CELL, 1)
-    return F.when(price != "", F.struct(price.cast("double").alias("price"), F.regexp_replace(F.regexp_extract(cell, _CELL, 2), r"(?U)^\s+|\s+$", "").alias("qualifier")))
+    return F.when(price != "", F.struct(price.try_cast("double").alias("price"), F.regexp_replace(F.regexp_extract(cell, _CELL, 2), r"(?U)^\s+|\s+$", "").alias("qualifier")))
 
 
 def classify_group(inner: Column) -> Column:
@@ -61,7 +61,7 @@ def classify_group(inner: Column) -> Column:
     ]
     for pattern, unit, count, volume, container in SHAPES:
         whole = f"^(?:{pattern})$"
-        number = lambda x, whole=whole: F.regexp_extract(g, whole, x).cast("double") if type(x) is int else F.lit(x)
+        number = lambda x, whole=whole: F.regexp_extract(g, whole, x).try_cast("double") if type(x) is int else F.lit(x)
         named = lookup(SINGULAR, F.regexp_extract(g, whole, unit)) if type(unit) is int else F.lit(unit)
         rules.append(F.when(g.rlike(whole), shaped(named, number(count), number(volume), F.lit(container), none)))
     return F.coalesce(*rules)
@@ -88,6 +88,6 @@ def parse_qualifier(qualifier: Column) -> Column:
     pair = F.transform(inner, lambda x: F.regexp_extract(F.lower(squeeze(x)), pack, 1))
     two = (F.size(groups) == 2) & (F.get(pair, F.lit(0)) != "") & (F.get(pair, F.lit(1)) != "")
     none = F.lit(None).cast("string")
-    per = F.struct(F.lit("ml").alias("unit_type"), F.get(pair, F.lit(1)).cast("double").alias("unit_count"), F.get(pair, F.lit(0)).cast("double").alias("pack_volume_ml"), none.alias("container"), none.alias("pack_condition_raw"))
+    per = F.struct(F.lit("ml").alias("unit_type"), F.get(pair, F.lit(1)).try_cast("double").alias("unit_count"), F.get(pair, F.lit(0)).try_cast("double").alias("pack_volume_ml"), none.alias("container"), none.alias("pack_condition_raw"))
     clear = (F.size(groups) > 0) & (F.regexp_replace(rest, r"(?U)\s", "") == "") & F.forall(said, lambda x: x.isNotNull())
     return F.when(clear & two, per).when(clear & (F.size(units) > 0), merged)

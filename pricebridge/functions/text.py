@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Pharmacopoeia marks, written with dots (as such) or without (in any case).
 DOTTED_MARKS = r"(?<![A-Za-z])(?:I\.P\.?|B\.P\.?|U\.S\.P\.?)(?![A-Za-z])"
@@ -38,28 +39,28 @@ def _each(fn):
     return lambda s: s.map(lambda x: None if x is None else fn(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return _each(lambda x: unicodedata.normalize("NFKC", x))(s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_text(s: pd.Series) -> pd.Series:
     """clean(), then full case folding, which Spark's lower() is not."""
     return _each(folded)(s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(s: pd.Series) -> pd.Series:
     return _each(str.casefold)(s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def format_number_text(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else number_text(float(v)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title_case(s: pd.Series) -> pd.Series:
     """Capitals after every non-letter, as str.title does and initcap does not."""
     return _each(str.title)(s)
@@ -84,7 +85,7 @@ def has(c: Column, pattern: str) -> Column:
 def first_number(c: Column, pattern: str, group: int = 1) -> Column:
     """A group of a pattern's first match as a double; null without a match."""
     got = F.regexp_extract(c, "(?iU)" + pattern, group)
-    return F.when(got != "", F.regexp_replace(got, ",", "").cast("double"))
+    return F.when(got != "", F.regexp_replace(got, ",", "").try_cast("double"))
 
 
 def to_milligrams(value: Column, unit: Column) -> Column:
@@ -94,11 +95,11 @@ def to_milligrams(value: Column, unit: Column) -> Column:
 
 def rupees(c: Column) -> Column:
     """Two decimals, halves to even as the binary value says."""
-    return F.concat(F.lit("₹"), F.format_number(c, "0.00"))
+    return F.concat(F.lit("₹"), F.call_function("format_number", c, F.lit("0.00")))
 
 
 def percent1(c: Column) -> Column:
-    return F.concat(F.format_number(c, "0.0"), F.lit("%"))
+    return F.concat(F.call_function("format_number", c, F.lit("0.0")), F.lit("%"))
 
 
 def display_name(molecules: Column, strength: Column, form: Column) -> Column:
@@ -114,11 +115,11 @@ def savings_line(pct: Column) -> Column:
 
 def slug(c: Column) -> Column:
     """Letters and digits of an ASCII rendering, joined by hyphens."""
-    ascii_only = F.regexp_replace(F.normalize(c) if hasattr(F, "normalize") else strip_accents(c), r"[^\x00-\x7F]", "")
+    ascii_only = F.regexp_replace(strip_accents(c), r"[^\x00-\x7F]", "")
     hyphened = F.regexp_replace(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(hyphened == "", F.lit("formulation")).otherwise(hyphened)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
     return _each(lambda x: unicodedata.normalize("NFKD", x))(s)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricebridge.dims import PIECE_UNITS
 from pricebridge.functions.forms import list_rank, pack_condition
 from pricebridge.functions.packs import pack_basis
+from pricebridge.store import settle
 
 
 def ceiling_basis(unit: Column, count: Column, volume: Column, price: Column) -> Column:
@@ -92,7 +93,7 @@ def price_exclusions(matches: DataFrame, products: DataFrame, equivalents: DataF
 def with_ids(df: DataFrame, *order: str, name: str = "id", parts: int = 64) -> DataFrame:
     """df with gapless ids from 1 in the given order, without a sort in one task: ranges are counted, then numbered."""
     spark = df.sparkSession
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}).cache()
+    ranged = settle(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "ranged")
     counts = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("lo")).orderBy("__part").collect()  # a row per range
     starts, total = [], 0
     for c in counts:

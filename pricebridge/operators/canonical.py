@@ -23,7 +23,7 @@ def _twins(df: DataFrame) -> DataFrame:
     name has three segments at most, a ceiling as many molecules as it lists; further ones never convert).
     """
     number = lambda i: F.regexp_extract(F.get("strengths", F.lit(i)), r"^([0-9]+(?:\.[0-9]+)?)%wv$", 1)
-    places = [F.when(number(i) != "", F.concat(format_number_text(number(i).cast("double") * 10.0), F.lit("mg/ml"))) for i in range(4)]
+    places = [F.when(number(i) != "", F.concat(format_number_text(number(i).try_cast("double") * 10.0), F.lit("mg/ml"))) for i in range(4)]
     df = df.withColumns({f"twin_{i}": c for i, c in enumerate(places)})
     df = df.withColumn("twins", F.slice(F.concat(F.array(*(f"twin_{i}" for i in range(4))), F.transform(F.coalesce("strengths", F.array()), lambda _: F.lit(None).cast("string"))), 1, F.greatest(F.size(F.coalesce("strengths", F.array())), F.lit(0))))
     keys = {
@@ -41,8 +41,9 @@ def canonical_products(products: DataFrame) -> DataFrame:
     """products (product_id, generic_name, unit_size, mrp) as canonical records; ok is false, with a reason, for names
     beyond the grammar. A pack beyond the grammar leaves the record ok, with pack_reason."""
     df = products.select("product_id", "generic_name", "unit_size", "mrp", composition("generic_name").alias("c"), parse_pack(F.col("unit_size")).alias("p"))
+    df = df.withColumn("form_folded", fold_text("c.form"))
     df = df.withColumns({"ok": F.col("c.ok"), "reason": F.col("c.reason"), "low_confidence": F.col("c.low_confidence")})
-    df = df.withColumns({"molecules_plain": tidy_all(F.col("c.folded")), "strengths": F.col("c.strengths"), "form": F.when(F.col("ok"), canonical_form(F.col("c.form"))).otherwise("unknown")})
+    df = df.withColumns({"molecules_plain": tidy_all(F.col("c.folded")), "strengths": F.col("c.strengths"), "form": F.when(F.col("ok"), canonical_form(F.col("form_folded"))).otherwise("unknown")})
     df = df.withColumns(
         {
             "molecules_alias": resolve_all(F.col("molecules_plain")),
@@ -54,7 +55,7 @@ def canonical_products(products: DataFrame) -> DataFrame:
         }
     )
     df = df.withColumn("pack_parsed", F.concat("pack_kind", F.lit(":"), format_number_text("pack_value")))
-    return _twins(df.drop("c", "p"))
+    return _twins(df.drop("c", "p", "form_folded"))
 
 
 def canonical_ceilings(ceilings: DataFrame) -> DataFrame:
@@ -63,12 +64,12 @@ def canonical_ceilings(ceilings: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     own = ["id", "formulation_raw", "form_raw", "strength_raw", "unit_type", "unit_count", "pack_volume_ml", "price_value"]
     extra = [F.col(c) if c in ceilings.columns else none.alias(c) for c in ("pack_condition_raw", "nlem_version")]
-    df = ceilings.select(*own, *extra, strength("strength_raw").alias("s"), clean_text(F.col("formulation_raw")).alias("clean"))
+    df = ceilings.select(*own, *extra, strength("strength_raw").alias("s"), clean_text(F.col("formulation_raw")).alias("clean"), fold_text("form_raw").alias("form_folded"))
     df = df.withColumn("molecules", split_formulation(F.col("clean"), F.when(F.size("s.parts") > 0, F.size("s.parts"))))
     df = df.withColumn("bound", bind_strengths(F.size("molecules"), F.col("s.parts"), F.col("s.reason")))
     empty = F.col("molecules").isNull() | (F.size("molecules") < 1)
     df = df.withColumn("reason", F.when(empty, F.lit("unparseable_molecule")).otherwise(F.col("bound.reason"))).withColumn("ok", F.col("reason").isNull())
-    df = df.withColumns({"form": F.when(F.col("ok"), canonical_form(F.col("form_raw"))).otherwise("unknown"), "strengths": F.col("bound.strengths")})
+    df = df.withColumns({"form": F.when(F.col("ok"), canonical_form(F.col("form_folded"))).otherwise("unknown"), "strengths": F.col("bound.strengths")})
     # a plain strength of an injection priced per ml is a concentration
     single = F.get("strengths", F.lit(0))
     per_ml = F.col("form").isin("injection", "infusion") & (F.col("unit_type") == "ml") & (F.coalesce(F.nullif("unit_count", F.lit(0.0)), F.lit(1.0)) == 1.0) & (F.size("strengths") == 1)
@@ -86,7 +87,7 @@ def canonical_ceilings(ceilings: DataFrame) -> DataFrame:
         }
     )
     df = df.withColumn("molecules_alias", resolve_all(F.col("molecules_plain")))
-    return _twins(df.drop("s", "clean", "molecules", "bound", "folded")).withColumnRenamed("id", "row_id")
+    return _twins(df.drop("s", "clean", "molecules", "bound", "folded", "form_folded")).withColumnRenamed("id", "row_id")
 
 
 def exclusions(products: DataFrame, ceilings: DataFrame) -> DataFrame:
@@ -106,5 +107,6 @@ def naive_baseline(products: DataFrame, ceilings: DataFrame) -> DataFrame:
     """Ceilings whose molecules, merely folded and sorted, are those of some product."""
     from pricebridge.functions.text import casefold
 
-    known = products.select(naive_key(fold_text("generic_name"), r"(?U)\s*(?:\+|&|,|\band\b)\s*").alias("naive")).distinct()
-    return ceilings.withColumn("naive", naive_key(casefold("formulation_raw"), r"\+")).join(known, "naive", "left_semi")
+    known = products.select(fold_text("generic_name").alias("text")).select(naive_key(F.col("text"), r"(?U)\s*(?:\+|&|,|\band\b)\s*").alias("naive")).distinct()
+    asked = ceilings.withColumn("text", casefold("formulation_raw")).withColumn("naive", naive_key(F.col("text"), r"\+"))
+    return asked.join(known, "naive", "left_semi").drop("text")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricebridge.functions.similarity import ratio_column
+from pricebridge.store import settle
 
 ACCEPT, REVIEW, REVIEW_ROWS = 92.0, 85.0, 200
 EXACT, ALIAS, FUZZY, FAMILY = 1, 2, 3, 4
@@ -66,26 +67,26 @@ class Ladder:
 
 
 def run_ladder(products: DataFrame, ceilings: DataFrame) -> Ladder:
-    """Match canonical records. The records and every stage's pairs are cached: later stages read them several times."""
-    n = _named(ceilings.filter("ok").select(*_NEED_N), "n_").cache()
-    j = _named(products.filter("ok").select(*_NEED_J), "j_").cache()
-    stage1 = _by_key(n, j, "key_plain", "conv_plain", EXACT).cache()
+    """Match canonical records, best settled ones. Every stage's pairs are settled: later stages read them several times."""
+    n = _named(ceilings.filter("ok").select(*_NEED_N), "n_")
+    j = _named(products.filter("ok").select(*_NEED_J), "j_")
+    stage1 = settle(_by_key(n, j, "key_plain", "conv_plain", EXACT), "exact")
     n1, j1 = _left(n, j, stage1)
-    stage2 = _by_key(n1, j1, "key_alias", "conv_alias", ALIAS).cache()
+    stage2 = settle(_by_key(n1, j1, "key_alias", "conv_alias", ALIAS), "alias")
     n2, j2 = _left(n1, j1, stage2)
 
     singles = F.col("n_strength_set") == F.col("j_strength_set")
     block = n2.filter(F.size("n_molecules_alias") == 1).join(j2.filter(F.size("j_molecules_alias") == 1), singles & (F.col("n_form") == F.col("j_form")))
     scored = block.withColumn("score", ratio_column(F.get("n_molecules_alias", F.lit(0)), F.get("j_molecules_alias", F.lit(0)))).filter("score > 0")
-    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("n_row_id").orderBy(F.desc("score"), "j_product_id"))).filter("place = 1").cache()
+    best = settle(scored.withColumn("place", F.row_number().over(Window.partitionBy("n_row_id").orderBy(F.desc("score"), "j_product_id"))).filter("place = 1"), "near")
     good = (F.col("score") >= ACCEPT) & ~_spelt(F.col("n_modifiers"), F.col("j_modifiers"))
-    stage3 = _pairs(best.filter(good), FUZZY, F.lit(False)).cache()
+    stage3 = _pairs(best.filter(good), FUZZY, F.lit(False))
     review = best.filter(~good & (F.col("score") >= REVIEW)).orderBy("n_row_id").limit(REVIEW_ROWS)
     review = review.select(F.col("n_formulation_raw").alias("formulation_raw"), F.col("n_row_id").alias("row_id"), F.col("j_generic_name").alias("generic_name"), F.col("j_product_id").alias("product_id"), F.round("score", 1).alias("score"))
 
     n3, j3 = _left(n2, j2, stage3)
     family = (F.col("n_molecule_set") == F.col("j_molecule_set")) & (F.col("n_strength_set") == F.col("j_strength_set")) & (F.col("n_family") == F.col("j_family"))
-    stage4 = _pairs(n3.join(j3, family & (F.col("n_form") != F.col("j_form"))), FAMILY, F.lit(False)).cache()
+    stage4 = settle(_pairs(n3.join(j3, family & (F.col("n_form") != F.col("j_form"))), FAMILY, F.lit(False)), "family")
     n4, _ = _left(n3, j3, stage4)
 
     combos = n4.filter((F.size("n_molecules_alias") > 1) & (F.col("n_formulation_raw").contains("+") | F.coalesce(F.col("n_strength_raw").contains("/"), F.lit(False)) | F.col("n_formulation_raw").contains("(A)")))
