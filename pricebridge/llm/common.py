@@ -67,7 +67,7 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execut
 def limit_batches(spark: SparkSession) -> None:
     """Small batches for Python workers; a session that has smaller ones keeps them."""
     for key, most in BATCH.items():
-        told = re.match(r"(-?\d+)b?$", spark.conf.get(key, "") or spark.conf.get(key))
+        told = re.match(r"(-?\d+)b?$", spark.conf.get(key))
         if not told or not 0 < int(told[1]) <= most:
             spark.conf.set(key, str(most))
 
