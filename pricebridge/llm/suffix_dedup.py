@@ -10,7 +10,8 @@
 4. Neighbours in that order whose phrases agree over the next `reach` bytes form a class. Every window that repeats has
    its first boundary that both occurrences must share in one class, so the remaining suffixes, those that begin at any
    byte, are compared within classes only: first all windows of a boundary at once, by the bytes that they cover, then,
-   for what differs but agrees in the bytes that all windows of a boundary share, each window by its m bytes.
+   for what differs but agrees in the bytes that all windows of a boundary share, a few windows at once in the same way,
+   and at last each window by its m bytes.
 
 Compared are 128-bit hashes of the bytes, with 64-bit ones before them.
 """
@@ -274,25 +275,66 @@ def phrases(zone_texts: DataFrame, s: Shape) -> DataFrame:
     return zone_texts.select("pos", "marks", "text").mapInArrow(run, _SYMBOL)
 
 
-def _windows(zone_texts: DataFrame, groups: DataFrame, m: int) -> DataFrame:
-    """Every window of the given boundaries: w0, w1 (hash of its bytes), pos, start, n."""
-    held = groups.groupBy("pos").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("bounds"))
-    rows = zone_texts.select("pos", "text").join(held, "pos").select("pos", "text", "bounds")
+def _stretches(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each stretch of a text."""
+    base = int(a.min())
+    buf = np.frombuffer(text[base : int(b.max())], np.uint8)
+    return tuple(_Rolling(buf, w).of(a - base, b - base).view(np.int64) for w in (_BYTE, _OTHER))
+
+
+def _runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which run, value) of all values from first to last of each run."""
+    n = last - first + 1
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
+
+
+#: Windows of a boundary that are compared together before each is.
+TOGETHER = 8
+
+
+def _of_texts(zone_texts: DataFrame, rows: DataFrame, fields: list[str], make, names: list[str]) -> DataFrame:
+    """make(text, columns of rows) for each text that rows (pos and fields, longs) speak of; gives columns of names."""
+    held = rows.groupBy("pos").agg(F.collect_list(F.struct(*fields)).alias("x"))
+    both = zone_texts.select("pos", "text").join(held, "pos").select("pos", "text", *(F.col(f"x.{f}").alias(f) for f in fields))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(x, pa.int64()) for x in ("w0", "w1", "pos", "start", "n")])
+        for batch in it:
+            for i, (pos, text) in enumerate(zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True)):
+                columns = {f: batch.column(2 + j)[i].values.to_numpy() for j, f in enumerate(fields)}
+                step = 1 << 14
+                for at in range(0, len(columns[fields[0]]), step):
+                    made = make(text, {f: c[at : at + step] for f, c in columns.items()})
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made[0]), pos)), *map(pa.array, made)], names=["pos", *names])
 
-        def each() -> Iterator[tuple]:
-            for batch in it:
-                for pos, text, bounds in zip(batch.column(0).to_pylist(), texts(batch, "text"), batch.column(2).to_pylist(), strict=True):
-                    for x in bounds:
-                        for start in range(x["lo"], x["hi"] + 1):
-                            w = xxhash.xxh3_128_intdigest(text[start : start + m])
-                            yield (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63), pos, start, x["n"]
+    return both.mapInArrow(run, ", ".join(f"{x} long" for x in ["pos", *names]))
+
+
+def _blocks(m: int, left: int):
+    """Windows of boundaries by TOGETHER: hashes of the bytes that they cover (c0, c1) and that they share (i0, i1), both
+    with their distances to the boundary, the windows' starts (lo to hi) and n."""
+
+    def make(text: bytes, x: dict[str, np.ndarray]) -> list[np.ndarray]:
+        which, j = _runs((x["at"] - x["hi"] - left) // TOGETHER, (x["at"] - x["lo"] - left) // TOGETHER)
+        at = x["at"][which]
+        near = left + TOGETHER * j
+        hi, lo = np.minimum(at - near, x["hi"][which]), np.maximum(at - near - TOGETHER + 1, x["lo"][which])
+        c0, c1 = _stretches(text, lo, hi + m)
+        i0, i1 = _stretches(text, at - near, at - near - TOGETHER + 1 + m)
+        salt = lambda h, d: h ^ ((d + 1) * np.int64(0x1E3779B97F4A7C15))
+        return [salt(c0, (at - lo) * 4096 + at - hi), c1, salt(i0, near), i1, lo, hi, x["n"][which]]
+
+    return make
+
+
+def _windows(m: int):
+    """Each window of ranges: the hash of its bytes (w0, w1), its start and n."""
 
-        yield from batches(each(), schema, size=1 << 15)
+    def make(text: bytes, x: dict[str, np.ndarray]) -> list[np.ndarray]:
+        which, start = _runs(x["lo"], x["hi"])
+        return [*_stretches(text, start, start + m), start, x["n"][which]]
 
-    return rows.mapInArrow(run, "w0 long, w1 long, pos long, start long, n long")
+    return make
 
 
 def repeated(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -339,10 +381,18 @@ def repeated(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: st
     # windows can only be equal where boundaries of a class agree in the bytes that all their windows share
     mixed = kinds.groupBy("class", "inner").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select("class", "inner")
     unclear = kinds.join(mixed, ["class", "inner"]).select("n", "one.*")
-    windows = cut(_windows(zone_texts, unclear, m), "windows")
+    blocks = cut(_of_texts(zone_texts, unclear, ["at", "lo", "hi", "n"], _blocks(m, s.left), ["c0", "c1", "i0", "i1", "lo", "hi", "n"]), "blocks")
+    # equal blocks repeat as a whole
+    whole = blocks.groupBy("c0", "c1").agg(F.count("*").alias("k")).filter("k > 1").select("c0", "c1", F.lit(True).alias("whole"))
+    blocks = cut(blocks.join(whole, ["c0", "c1"], "left").select("pos", "i0", "i1", "lo", "hi", F.when(F.coalesce("whole", F.lit(False)), 2).otherwise(F.col("n")).cast("long").alias("n"), ((F.col("n") == 1) & F.coalesce("whole", F.lit(False))).alias("found")), "blocks")
+    # of the others, those that share no bytes with another block repeat nowhere
+    open_ = blocks.groupBy("i0", "i1").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select("i0", "i1")
+    rest = blocks.join(open_, ["i0", "i1"], "left_semi")
+    windows = cut(_of_texts(zone_texts, rest, ["lo", "hi", "n"], _windows(m), ["w0", "w1", "start", "n"]), "windows")
     key = ["w0", "w1"]
-    again = windows.groupBy(*key).agg(F.count("*").alias("k")).filter("k > 1").select(*key)
+    again = windows.groupBy(*key).agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select(*key)
     single = windows.filter("n = 1").join(again, key, "left_semi").select("pos", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    single = single.unionByName(blocks.filter("found").select("pos", "lo", "hi"))
     ranges = cut(same.unionByName(single).groupBy("pos").agg(F.collect_list(F.struct("lo", "hi")).alias("r")).select("pos", "r.lo", "r.hi"), "ranges")
     return rows, ranges, zone_texts
 
