@@ -48,6 +48,13 @@ def match(jap_products: DataFrame, nppa_ceiling_prices: DataFrame, computed_at:
     return Match(p, c, steps, matches, numbered, canon, meta)
 
 
+def report(m: Match) -> dict[str, DataFrame]:
+    """What to look at after a match: the most frequent unmatched, near misses, how pairs came about, and examples."""
+    n, j = overlay.unmatched_report(m.products, m.ceilings, m.ladder)
+    how = m.equivalents.groupBy("match_method", "confidence").agg(F.count("*").alias("n"))
+    return {"unmatched ceilings": n, "unmatched products": j, "review queue": m.ladder.review, "methods": how, "examples": m.equivalents.orderBy("id").limit(5)}
+
+
 def product_tables(documents: DataFrame, source: str, build_ts: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(products, rejects, metadata) of product documents."""
     rows = product_files.checked(product_files.product_rows(documents)).cache()
@@ -152,11 +159,16 @@ def main(argv: list[str] | None = None) -> None:
     scope.add_argument("--jap-only", action="store_true")
     scope.add_argument("--nppa-only", action="store_true")
     p.add_argument("--no-match", action="store_true")
+    p.add_argument("--report", action="store_true")
     a = p.parse_args(argv)
     spark = session("pricebridge build")
     made = build(spark, a.out, None if a.nppa_only else a.source, None if a.jap_only else a.nppa_all, None if a.jap_only else a.nppa_special, a.rejects, not a.no_match)
     for row in made["meta"].orderBy("key").collect():
         print(f"{row['key']}={row['value']}")
+    if a.report:
+        for title, df in report(match(spark.read.parquet(f"{a.out}/jap_products"), spark.read.parquet(f"{a.out}/nppa_ceiling_prices"), now())).items():
+            print(f"-- {title}")
+            df.show(20, False)
 
 
 if __name__ == "__main__":

@@ -419,6 +419,50 @@ def integrity_checks(spark, sf_dir):
     return lost.unionByName(serve.basis_faults(t).agg(F.count("*").alias("n")).select(F.lit("unit_basis").alias("check"), "n"))
 
 
+def _own_ladder(spark: SparkSession, sf_dir: str, name: str, form: str, dosage: str, formulation: str, strength_raw: str) -> ladder.Ladder:
+    """The ladder over products and ceilings that are made for one question; each (p_name, p_size) is a ceiling."""
+    part = _part(spark, sf_dir)
+    p = spark.sql("SELECT p_partkey AS product_id, " + name + " AS generic_name, '10''s' AS unit_size, p_retailprice AS mrp FROM {part}", part=part)
+    c = spark.sql(
+        "SELECT row_number() OVER (ORDER BY p_name, p_size) AS id, " + formulation + " AS formulation_raw, " + form + " AS form_raw, " + strength_raw + " AS strength_raw, " + dosage
+        + " AS unit_type, cast(1 AS double) AS unit_count, cast(NULL AS double) AS pack_volume_ml, cast(1 AS double) AS price_value FROM (SELECT DISTINCT p_name, p_size FROM {part})", part=part,
+    )
+    return ladder.run_ladder(settle(canonical.canonical_products(p), "products"), settle(canonical.canonical_ceilings(c), "ceilings"))
+
+
+@_query("SELECT id AS row_id FROM (SELECT row_number() OVER (ORDER BY p_name, p_size) AS id, p_size FROM (SELECT DISTINCT p_name, p_size FROM part)) WHERE p_size <> 5")
+def slash_mismatches(spark, sf_dir):
+    """J7: molecules and strengths are known, but paired the other way round"""
+    made = _own_ladder(spark, sf_dir, "concat(p_name, ' 5mg and kappa ', cast(p_size AS string), 'mg Tablets')", "'TABLET'", "'tablet'", "concat(p_name, ' (A) + KAPPA (B)')", "concat(cast(p_size AS string), ' MG (A) + 5 MG (B)')")
+    return made.slashes.select(F.col("n_row_id").alias("row_id"))
+
+
+@_query("""WITH c AS (SELECT row_number() OVER (ORDER BY p_name, p_size) AS row_id, p_name, p_size FROM (SELECT DISTINCT p_name, p_size FROM part))
+  SELECT row_id, p_partkey AS product_id, p_size % 2 = 1 AS via FROM c JOIN part USING (p_name, p_size)""")
+def match_by_conversion(spark, sf_dir):
+    """J1 J2 G8: percent strengths meet their mg/ml, whichever side has them"""
+    made = _own_ladder(
+        spark, sf_dir, "CASE WHEN p_size % 2 = 0 THEN concat(p_name, ' Injection ', cast(p_size AS string), '% w/v') ELSE concat(p_name, ' Injection ', cast(p_size * 10 AS string), ' mg per ml') END",
+        "'INJECTION'", "'vial'", "p_name", "CASE WHEN p_size % 2 = 0 THEN concat(cast(p_size * 10 AS string), ' MG/ML') ELSE concat(cast(p_size AS string), ' %') END",
+    )
+    return made.pairs.select("row_id", "product_id", "via")
+
+
+@_query("""WITH c AS (SELECT row_number() OVER (ORDER BY p_name, p_size) AS row_id, p_name, p_size FROM (SELECT DISTINCT p_name, p_size FROM part))
+  SELECT row_id, min(p_partkey) AS product_id, round(200.0 * length(p_name) / (2 * length(p_name) + 2), 1) AS score FROM c JOIN part USING (p_name, p_size) WHERE length(p_name) < 12 GROUP BY row_id, p_name ORDER BY row_id LIMIT 200""")
+def review_queue(spark, sf_dir):
+    """J4 W2 W9: the first 200 near misses (the cap is the feature)"""
+    made = _own_ladder(spark, sf_dir, "concat(p_name, ' Tablets ', cast(p_size AS string), ' mg')", "'TABLET'", "'tablet'", "concat(p_name, 'xx')", "concat(cast(p_size AS string), ' MG')")
+    return made.review.select("row_id", "product_id", F.col("score").cast("double").alias("score"))
+
+
+@_query(_with("SELECT concat(upper(name), CASE WHEN odd THEN 'X' ELSE '' END) AS formulation_raw, concat(size, CASE WHEN size % 3 = 2 THEN 'mg/ml' ELSE 'mg' END) AS strength_set, count(*) AS n FROM ceil WHERE id NOT IN (SELECT id FROM pairs) GROUP BY 1, 2 ORDER BY n DESC, min(id) LIMIT 15"))
+def unmatched_formulations(spark, sf_dir):
+    """A13 (the limit is the feature)"""
+    m = _match(spark, sf_dir)
+    return overlay.unmatched_report(m.products, m.ceilings, m.ladder)[0]
+
+
 # ---------------------------------------------------------------- serving
 
 
