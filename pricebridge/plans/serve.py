@@ -11,6 +11,7 @@ from pricebridge.dims import CAVEATS, MOLECULE_ALIASES, PACK_BASIS, SAVINGS_BUCK
 from pricebridge.functions.forms import lookup
 from pricebridge.functions.similarity import partial_column
 from pricebridge.functions.text import folded, slug
+from pricebridge.store import settle
 
 LEAST_QUERY, FUZZY_CUTOFF, TAX_LOW, TAX_HIGH = 2, 80.0, 1.05, 1.15
 
@@ -218,24 +219,31 @@ def ladder_bars(t: Tables) -> DataFrame:
     return c.select("total_nppa_keys", F.expr(bars)).select("ord", "label", "value", share("value", "total_nppa_keys").alias("pct"))
 
 
-def slug_map(keys: DataFrame) -> DataFrame:
+def slug_map(keys: DataFrame, most_rounds: int = 20) -> DataFrame:
     """match_key, slug, collided: keys in order take their slug, or the next free of slug-2, slug-3, ...
 
-    Numbers go within a slug. If a numbered slug is another key's own, keys are numbered on past it: the taken numbers
-    of a slug are looked up once, for as many numbers as its keys need.
+    Numbers go within a slug. A number that gives another, earlier key's own slug is skipped; if that key comes later,
+    it is the later one that is numbered. The latter may touch further slugs, so it is looked for until there is no more.
     """
     based = keys.select("match_key", slug(F.col("match_key")).alias("base"))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("match_key"))
-    rows = based.withColumn("n", n)
     own = based.groupBy(F.col("base").alias("own")).agg(F.min("match_key").alias("claimed"))
-    # base-k taken by the first key of that very slug, if that key comes before
-    stem = F.regexp_extract("own", r"^(.+)-(\d+)$", 1)
-    taken = own.withColumns({"stem": stem, "k": F.regexp_extract("own", r"^(.+)-([1-9]\d*)$", 2)}).filter("stem <> '' AND k <> ''").groupBy(F.col("stem").alias("base")).agg(F.collect_list(F.struct(F.col("k").cast("long").alias("k"), "claimed")).alias("taken"))
-    rows = rows.join(taken, "base", "left")
-    before = F.array_sort(F.transform(F.filter(F.coalesce("taken", F.array().cast("array<struct<k:bigint,claimed:string>>")), lambda x: (x["claimed"] < F.col("match_key")) & (x["k"] >= 2)), lambda x: x["k"]))
-    number = F.aggregate(before, F.col("n").cast("long"), lambda at, k: F.when(k <= at, at + 1).otherwise(at))
-    named = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), number.cast("string")))
-    return rows.select("match_key", named.alias("slug"), (F.col("n") > 1).alias("collided"))
+    numbered = own.withColumns({"stem": F.regexp_extract("own", r"^(.+)-([1-9]\d*)$", 1), "k": F.regexp_extract("own", r"^(.+)-([1-9]\d*)$", 2)}).filter("stem <> ''")
+    taken = numbered.groupBy(F.col("stem").alias("base")).agg(F.collect_list(F.struct(F.col("k").cast("long").alias("k"), "claimed")).alias("taken"))
+    rows = based.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("match_key"))).join(taken, "base", "left")
+    rows = settle(rows, "slugs")
+    lost = rows.limit(0).select("base", F.lit(1).alias("late"))  # slugs that an earlier key's number has taken
+    for _ in range(most_rounds):
+        at = (F.col("n") + F.coalesce("late", F.lit(0))).cast("long")
+        before = F.array_sort(F.transform(F.filter(F.coalesce("taken", F.array().cast("array<struct<k:bigint,claimed:string>>")), lambda x: (x["claimed"] < F.col("match_key")) & (x["k"] >= 2)), lambda x: x["k"]))
+        number = F.aggregate(before, F.col("at"), lambda i, k: F.when((k <= i) & (F.col("at") > 1), i + 1).otherwise(i))
+        named = rows.join(lost, "base", "left").withColumn("at", at).withColumn("number", number)
+        named = named.select("match_key", "base", F.when(F.col("at") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("number").cast("string"))).alias("slug"), (F.col("at") > 1).alias("collided"))
+        clash = named.filter("collided").join(own, F.col("slug") == F.col("own")).filter("claimed > match_key").select(F.col("own").alias("base"), F.lit(1).alias("late")).distinct()
+        clash = settle(clash, "slugs")
+        if clash.join(lost, "base", "left_anti").isEmpty():
+            return named.select("match_key", "slug", "collided")
+        lost = clash.unionByName(lost).distinct()
+    raise RuntimeError(f"slugs still collide after {most_rounds} rounds")
 
 
 def basis_faults(t: Tables) -> DataFrame:

@@ -155,9 +155,17 @@ def test_caveats(spark):
 
 
 def test_slugs(spark):
-    keys = spark.createDataFrame([("a b",), ("a+b",), ("a|b",), ("é:1",), ("||",)], "match_key string")
-    got = {r["match_key"]: r["slug"] for r in serve.slug_map(keys).collect()}
-    assert got == {"a b": "a-b", "a+b": "a-b-2", "a|b": "a-b-3", "é:1": "e-1", "||": "formulation"}
+    names = ["a b", "a+b", "a|b", "é:1", "||", "x", "x!", "x-2", "x-2!", "y 3", "y", "y!", "y?", "y|"]
+    want, used = {}, set()
+    for key in sorted(names):  # one after the other
+        base = {"é:1": "e-1", "||": "formulation"}.get(key) or "-".join("".join(c if c.isalnum() else " " for c in key).split())
+        n, slug = 1, base
+        while slug in used:
+            n, slug = n + 1, f"{base}-{n + 1}"
+        used.add(slug)
+        want[key] = (slug, n > 1)
+    keys = spark.createDataFrame([(k,) for k in names], "match_key string")
+    assert {r["match_key"]: (r["slug"], r["collided"]) for r in serve.slug_map(keys).collect()} == want
 
 
 def test_plans_have_no_cartesian_product_and_no_row_wise_python(spark, built):
