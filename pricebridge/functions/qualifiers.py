@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricebridge.dims import PRICE_UNITS
 from pricebridge.functions.forms import lookup
-from pricebridge.functions.text import squeeze
+from pricebridge.functions.text import let, squeeze
 
 _CELL = r"(?sU)^\s*₹\s*([0-9]+(?:\.[0-9]+)?)\s*(.*)$"
 _GROUP = r"\((?:[^()]|\([^()]*\))*\)"
@@ -48,8 +48,10 @@ def price_and_qualifier(cell: Column) -> Column:
 
 def classify_group(inner: Column) -> Column:
     """What one bracketed group says, as a struct; null where no shape fits."""
-    g = F.lower(squeeze(inner))
+    return let(F.lower(squeeze(inner)), lambda g: _classify_folded(inner, g))
 
+
+def _classify_folded(inner: Column, g: Column) -> Column:
     def shaped(unit: Column, count: Column, volume: Column, container: Column, condition: Column, marker: bool = False) -> Column:
         return F.struct(unit, count, volume, container, condition, F.lit(marker)).cast(_FIELDS)
 
@@ -73,21 +75,25 @@ def parse_qualifier(qualifier: Column) -> Column:
     Every group must be understood. The first group that says something of a field gives it; "A ml pack" and "B ml pack"
     together are a pack of A ml priced per B ml.
     """
-    groups = F.regexp_extract_all(qualifier, F.lit(_GROUP), F.lit(0))
-    rest = F.regexp_replace(qualifier, _GROUP, "")
-    inner = F.transform(groups, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
-    said = F.transform(inner, classify_group)
-    # groups that only mark say nothing of any field
-    units = F.filter(said, lambda x: x["unit_type"].isNotNull())
-    first = lambda field: F.get(F.filter(F.transform(said, lambda x: x[field]), lambda v: v.isNotNull()), F.lit(0))
-    merged = F.struct(
-        F.get(units, F.lit(0))["unit_type"].alias("unit_type"), F.get(units, F.lit(0))["unit_count"].alias("unit_count"), first("volume").alias("pack_volume_ml"),
-        first("container").alias("container"), F.nullif(first("condition"), F.lit("")).alias("pack_condition_raw"),
-    )
-    pack = "^" + _N + r" ?ml pack$"
-    pair = F.transform(inner, lambda x: F.regexp_extract(F.lower(squeeze(x)), pack, 1))
-    two = (F.size(groups) == 2) & (F.get(pair, F.lit(0)) != "") & (F.get(pair, F.lit(1)) != "")
+    rest = F.regexp_replace(F.regexp_replace(qualifier, _GROUP, ""), r"(?U)\s", "")
+    inner = F.transform(F.regexp_extract_all(qualifier, F.lit(_GROUP), F.lit(0)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    both = F.transform(inner, lambda x: F.struct(x.alias("text"), classify_group(x).alias("said")))
+    return F.when(rest == "", let(both, _merge_groups))
+
+
+_PACK = "^" + _N + r" ?ml pack$"
+
+
+def _merge_groups(groups: Column) -> Column:
+    """What all groups (text, said) say together."""
+    units = F.filter(groups, lambda x: x["said"]["unit_type"].isNotNull())
+    first = lambda field: F.get(F.filter(F.transform(groups, lambda x: x["said"][field]), lambda v: v.isNotNull()), F.lit(0))
+    unit = F.get(units, F.lit(0))["said"]
     none = F.lit(None).cast("string")
-    per = F.struct(F.lit("ml").alias("unit_type"), F.get(pair, F.lit(1)).try_cast("double").alias("unit_count"), F.get(pair, F.lit(0)).try_cast("double").alias("pack_volume_ml"), none.alias("container"), none.alias("pack_condition_raw"))
-    clear = (F.size(groups) > 0) & (F.regexp_replace(rest, r"(?U)\s", "") == "") & F.forall(said, lambda x: x.isNotNull())
-    return F.when(clear & two, per).when(clear & (F.size(units) > 0), merged)
+    fields = lambda *c: F.struct(*(x.alias(n) for x, n in zip(c, ("unit_type", "unit_count", "pack_volume_ml", "container", "pack_condition_raw"), strict=True)))
+    merged = fields(unit["unit_type"], unit["unit_count"], first("volume"), first("container"), F.nullif(first("condition"), F.lit("")))
+    volume = lambda i: F.regexp_extract(F.lower(squeeze(F.get(groups, F.lit(i))["text"])), _PACK, 1)
+    per = fields(F.lit("ml"), volume(1).try_cast("double"), volume(0).try_cast("double"), none, none)
+    clear = (F.size(groups) > 0) & F.forall(groups, lambda x: x["said"].isNotNull())
+    two = (F.size(groups) == 2) & (volume(0) != "") & (volume(1) != "")
+    return F.when(clear, F.when(two, per).when(F.size(units) > 0, merged))

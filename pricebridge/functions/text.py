@@ -66,6 +66,11 @@ def title_case(s: pd.Series) -> pd.Series:
     return _each(str.title)(s)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use mentions it: inside lambdas Spark shares no subexpressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """White space of any kind to single spaces, none at the ends."""
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"^ | $", "")
