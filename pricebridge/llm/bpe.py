@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -23,8 +24,8 @@ from pricebridge.llm.common import limit_batches, texts
 
 #: Words of more bytes are merged with a heap.
 LONG = 128
-#: Words whose ids a task remembers; beyond that it forgets them all.
-REMEMBERED = 100_000
+#: New words after which a task forgets those that it has not met since as many new words before.
+REMEMBERED = 120_000
 #: How byte-level tokenizers of this kind cut text into words (a fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
@@ -60,6 +61,7 @@ class Tokenizer:
         found = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, found))) if found else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[bytes]:
         """The parts of a word."""
@@ -101,9 +103,12 @@ class Tokenizer:
 
     def _ids(self, word: str) -> bytes:
         """Ids of a word as 32-bit numbers."""
-        ids = np.array([self.id_of[p] for p in self.merge(word.encode("utf-8", "surrogatepass"))], np.int32).tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("i", [self.id_of[p] for p in self.merge(word.encode("utf-8", "surrogatepass"))]).tobytes()
         if len(word) <= LONG:
             if len(self.known) >= REMEMBERED:
+                self.older = dict(self.known)
                 self.known.clear()
             self.known[word] = ids
         return ids
