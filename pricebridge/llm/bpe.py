@@ -25,7 +25,7 @@ from pricebridge.llm.common import limit_batches, texts
 #: Words of more bytes are merged with a heap.
 LONG = 128
 #: New words after which a task forgets those that it has not met since as many new words before.
-REMEMBERED = 120_000
+REMEMBERED = 240_000
 #: How byte-level tokenizers of this kind cut text into words (a fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
