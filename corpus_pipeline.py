@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricebridge.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from pricebridge.llm import bpe, exact_dedup, mixing, similar, toxicity
 from pricebridge.llm.common import cut
 
 
@@ -22,8 +22,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of all that fingerprints link."""
-    return simhash.keep_one(docs)
+    """One document, the one with the smallest id, of all that a similarity of five-word shingles of at least 0.8 links."""
+    return similar.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
-STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("simhash near-dedup", drop_near_copies), ("mixing", mix), ("bpe", encode)]
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix), ("bpe", encode)]
 
 #: No SQL can express the classifier or the encoder; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None

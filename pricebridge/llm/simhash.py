@@ -211,13 +211,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id is that of their component, with all columns: one document of each group.
+def keep_least(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is that of their component in marks (doc_id, component_id), with all columns.
 
     Rows that repeat one id stay or go together; a component whose ids are all null stays whole.
     """
-    marks = cut(near_duplicates(docs, id_col, text_col, **how), "marks")
+    marks = cut(marks, "marks")
     # an id may stand in several components if ids repeat; it goes only where it nowhere stays
     gone = marks.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).filter("NOT stays").select(F.col("doc_id").alias("__gone"))
     gone = cut(gone, "gone")
     return docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs whose id is that of their component, with all columns: one document of each group."""
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, **how), id_col)
