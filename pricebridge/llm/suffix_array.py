@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,13 @@ from pyspark.sql import functions as F
 from pricebridge.llm.common import cut, drop_cut, partitions, release
 
 
+def _as_longs(column: pa.Array) -> np.ndarray:
+    """A column of longs, or the hashes of one of byte strings: neighbours are equal where these are."""
+    if pa.types.is_binary(column.type):
+        return np.array([xxhash.xxh3_64_intdigest(x) for x in column.to_pylist()], np.uint64).view(np.int64)
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _run_counts(run: list[str], keep: list[str]):
     """Per partition, in order: for each row the rows of kind 0 and of kind 1 in earlier runs of equal `run` columns."""
 
@@ -39,7 +47,7 @@ def _run_counts(run: list[str], keep: list[str]):
             if not n:
                 continue
             at = {f: batch.schema.get_field_index(f) for f in [*run, *keep, "kind"]}
-            keys = np.stack([batch.column(at[c]).to_numpy(zero_copy_only=False) for c in run])
+            keys = np.stack([_as_longs(batch.column(at[c])) for c in run])
             kind = batch.column(at["kind"]).to_numpy(zero_copy_only=False)
             new = np.ones(n, bool)
             new[1:] = (keys[:, 1:] != keys[:, :-1]).any(0)
@@ -66,7 +74,7 @@ def ranked(rows: DataFrame, order: list[str], run: list[str], keep: list[str], t
     """keep, n0, n1 of every row: the rows of kind 0 and of kind 1 in strictly smaller runs.
 
     Rows are sorted by order, then tie; a run are neighbours that agree in the run columns. All columns are longs but
-    kind, an int. rows should be cheap to read twice. The result is written and read again.
+    kind, an int, and columns of order and run that are byte strings. rows should be cheap to read twice. The result is written and read again.
     """
     spark = rows.sparkSession
     n = partitions(spark)

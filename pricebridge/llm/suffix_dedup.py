@@ -1,19 +1,20 @@
 """Removal of byte strings of a given length (400) that occur more than once, with a distributed suffix array.
 
 1. Texts that are equal count once from here on; each knows its copies.
-2. What can't repeat is left out, exactly: every window of m bytes has an anchor, the least of the k-gram hashes at its
-   first m/3 positions, which depends on the window alone. If the m - m/3 + 1 bytes from an anchor on occur once in all
-   texts, none of the windows with this anchor repeats. Zones around the other anchors remain.
-3. Zones are cut into phrases at boundaries that depend only on the bytes within a fixed distance (local minima of the
-   k-gram hashes; where none is near, every position). A phrase is a symbol, and the difference-cover algorithm sorts
-   all suffixes at phrase boundaries.
-4. Neighbours in that order whose phrases agree over the next `reach` bytes form a class. Every window that repeats has
-   its first boundary that both occurrences must share in one class, so the remaining suffixes, those that begin at any
-   byte, are compared within classes only: first all windows of a boundary at once, by the bytes that they cover, then,
-   for what differs but agrees in the bytes that all windows of a boundary share, a few windows at once in the same way,
-   and at last each window by its m bytes.
-
-Compared are 128-bit hashes of the bytes, with 64-bit ones before them.
+2. The suffixes that are sorted begin at anchors: the anchor of a window of m bytes is the least of the k-gram hashes at
+   its first m/3 positions, so it depends on the window alone, and each anchor has a run of windows. Anchors whose first
+   m - m/3 + 1 bytes (the core, which all its windows hold) occur once in all texts have no window that repeats; they and
+   texts without others are left out, exactly.
+3. An anchor's next one depends on the first `ahead` bytes from it alone. So texts that agree in these are cut alike into
+   chunks from anchor + ahead on, and the order of their chunk strings is that of their bytes. Chunks are named in the
+   order of their bytes, and the difference-cover algorithm sorts all suffixes of the strings of names.
+4. The remaining suffixes, those at the bytes between anchors, are merged into that order: a suffix d bytes before its
+   anchor follows its d bytes first and the anchor's rank then. So of the anchors with one core, in the order of ranks,
+   the common prefix of two is the least of those of the neighbours between them, and only neighbours' bytes are compared.
+   The window d bytes before an anchor repeats if another anchor has the same d bytes before it and a common prefix of at
+   least m - d bytes.
+
+Common prefixes and what stands before anchors are compared as bytes, cores as 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,12 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import batches, cut, drop_cut, limit_batches, release, small, texts
+from pricebridge.llm.common import batches, cut, drop_cut, limit_batches, partitions, release, small, texts
 from pricebridge.llm.licenses import _BYTE, _powers  # byte weights and powers of the rolling hash
 from pricebridge.llm.suffix_array import ranked, suffix_ranks
 
 #: Longer texts are cut into pieces of so many bytes for the vector operations; pieces overlap, so results don't change.
 PIECE = 1 << 20
+#: Anchors with one core that a task compares at most; the windows of those with more are counted one by one.
+MOST = 50_000
+#: Different surroundings of a core up to which pairs are compared; above, they are sorted from both ends.
+FEW = 32
 
 
 @dataclass(frozen=True)
@@ -51,38 +56,6 @@ class Shape:
     def k(self) -> int:  # bytes of a k-gram
         return max(2, min(16, self.m // 25))
 
-    @property
-    def r(self) -> int:  # a boundary's hash is the least within so many positions
-        return max(1, self.m * 9 // 200)
-
-    @property
-    def g(self) -> int:  # where no such boundary is within so many positions, there are finer ones:
-        return max(1, self.m * 21 // 200)
-
-    @property
-    def fine_r(self) -> int:  # those whose hash is the least within so many positions,
-        return max(1, self.m // 130)
-
-    @property
-    def fine_g(self) -> int:  # and every position that has no such one within so many
-        return max(1, self.m // 50)
-
-    @property
-    def gap(self) -> int:  # greatest distance of boundaries
-        return 2 * self.g + 2 * self.fine_g + 2
-
-    @property
-    def left(self) -> int:  # bytes before and from a position on that decide whether it is a boundary
-        return self.g + self.r
-
-    @property
-    def right(self) -> int:
-        return self.g + self.r + self.k
-
-    @property
-    def reach(self) -> int:  # phrases agree over at least so many bytes
-        return self.m - self.left - self.right - 2 * self.gap
-
     @property
     def head(self) -> int:  # positions of a window among which its anchor is
         return self.m // 3
@@ -91,6 +64,10 @@ class Shape:
     def core(self) -> int:  # bytes from an anchor on that all its windows hold
         return self.m - self.head + 1
 
+    @property
+    def ahead(self) -> int:  # bytes from an anchor on that decide which the next one is
+        return self.head + self.k
+
 
 def _hashes(text: bytes, k: int) -> np.ndarray:
     """32-bit hashes of the k-grams at all positions, k at most 16: of their first and of their last 8 bytes."""
@@ -135,73 +112,39 @@ class _Rolling:
         return x ^ (x >> np.uint64(29))
 
 
-_OTHER = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
-def anchors(text: bytes, s: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes of the bytes that all windows of the anchor hold) of a text's anchors."""
-    at, cores = [], []
-    for start in range(0, len(text) - s.m + 1, PIECE):
-        piece = text[start : start + PIECE + s.m - 1]
-        buf = np.frombuffer(piece, np.uint8)
-        h = _hashes(piece, s.k)[: len(buf) - s.m + s.head].astype(np.uint64) << np.uint64(32)
+def anchors(text: bytes, s: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, lo, hi) of a text's anchors: the windows that begin at lo to hi have the anchor; hi < lo if all
+    stretches that select it are too near to the text's end."""
+    n = len(text) - s.k + 1 - s.head + 1  # stretches of `head` positions
+    at, lo = [], []
+    for start in range(0, n, PIECE):
+        piece = text[start : start + PIECE + s.head - 1 + s.k - 1]
+        h = _hashes(piece, s.k).astype(np.uint64) << np.uint64(32)
         least = _sliding_min(h | np.arange(len(h), dtype=np.uint64), s.head)
         found = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        found = found[np.concatenate([[True], found[1:] != found[:-1]])]
-        at.append(found + start)
-        cores.append(_Rolling(buf).of(found, found + s.core))
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        at.append(found[first] + start)
+        lo.append(first + start)
     if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, cores = np.concatenate(at), np.concatenate(cores)
-    first = np.concatenate([[True], at[1:] > at[:-1]])  # a piece's last anchor may be the next one's first
-    return at[first], cores[first]
-
-
-def _far(points: np.ndarray, d: int, n: int) -> list[tuple[int, int]]:
-    """Ranges of the positions below n that have no point within d."""
-    ends = np.concatenate([[-d - 1], points, [n + d]])
-    wide = np.flatnonzero(np.diff(ends) > 2 * d + 1)
-    return [(int(ends[i]) + d + 1, int(ends[i + 1]) - d) for i in wide]
-
-
-def boundaries(text: bytes, s: Shape) -> np.ndarray:
-    """Positions of a text at which a phrase begins."""
-    n = len(text) - s.k + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    coarse, fine = [], []
-    for start in range(0, n, PIECE):
-        a, b = max(0, start - s.r), min(len(text), start + PIECE + s.r + s.k - 1)
-        h = _hashes(text[a:b], s.k)
-        for r, out in ((s.r, coarse), (s.fine_r, fine)):
-            edge = np.full(r, 0xFFFFFFFF, np.uint32)
-            own = np.flatnonzero(h <= _sliding_min(np.concatenate([edge, h, edge]), 2 * r + 1)) + a
-            out.append(own[(own >= start) & (own < start + PIECE)])
-    coarse, fine = np.concatenate(coarse), np.concatenate(fine)
-    bare = _far(coarse, s.g, n)
-    if not bare:
-        return coarse
-    inside = np.zeros(n, bool)
-    for a, b in bare:
-        inside[a:b] = True
-    every = [np.arange(a, b) for a, b in _far(fine, s.fine_g, n)]
-    more = np.concatenate([fine, *every])
-    return np.unique(np.concatenate([coarse, more[inside[more]]]))
-
-
-def _merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
-    """Unions of half-open ranges that touch or overlap."""
-    out: list[list[int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
+        return (np.zeros(0, np.int64),) * 3
+    at, lo = np.concatenate(at), np.concatenate(lo)
+    new = np.concatenate([[True], at[1:] > at[:-1]])  # a piece's last anchor may be the next one's first
+    at, lo = at[new], lo[new]
+    return at, lo, np.minimum(np.concatenate([lo[1:], [n]]) - 1, len(text) - s.m)
+
+
+def cores(text: bytes, at: np.ndarray, s: Shape) -> np.ndarray:
+    """64-bit hashes of the cores of anchors."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(0, len(at), PIECE // 16):
+        own = at[i : i + PIECE // 16]
+        base = int(own[0])
+        out[i : i + len(own)] = _Rolling(np.frombuffer(text[base : int(own[-1]) + s.core], np.uint8)).of(own - base, own - base + s.core)
     return out
 
 
 def read_texts(docs: DataFrame, s: Shape, id_col: str, text_col: str) -> DataFrame:
-    """pos, doc_id, sha, n_bytes of every row, with its anchors (at, core: binary)."""
+    """pos, doc_id, sha, n_bytes of every row, with its anchors that have windows (at) and their cores."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos = TaskContext.get().partitionId() << 33
@@ -211,8 +154,11 @@ def read_texts(docs: DataFrame, s: Shape, id_col: str, text_col: str) -> DataFra
             nonlocal pos
             for batch in it:
                 for i, text in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
-                    at, core = anchors(text, s)
-                    yield pos, i, hashlib.sha256(text).digest(), len(text), at, core.view(np.int64)
+                    at = np.zeros(0, np.int64)
+                    if len(text) >= s.m:
+                        at, lo, hi = anchors(text, s)
+                        at = at[lo <= hi]
+                    yield pos, i, hashlib.sha256(text).digest(), len(text), at, cores(text, at, s).view(np.int64)
                     pos += 1
 
         yield from batches(rows(), schema, weigh=lambda r: 200 + 16 * len(r[4]))
@@ -221,123 +167,220 @@ def read_texts(docs: DataFrame, s: Shape, id_col: str, text_col: str) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pos long, doc_id long, sha binary, n_bytes long, at array<long>, core array<long>")
 
 
-_SYMBOL = "z long, i long, c long, b long, pos long, at long, lo long, hi long, prefix long, inner long, cover0 long, cover1 long"
-
-
-def phrases(zone_texts: DataFrame, s: Shape) -> DataFrame:
-    """The symbols of all zones: string z, number i, symbol c of b bytes; where it begins (pos, at); the windows that are
-    its own (lo to hi); hashes of the phrases of the next `reach` bytes, of the bytes that all its windows share, and of
-    all bytes that they cover."""
-
-    def symbols(z: int, pos: int, text: bytes, marks: np.ndarray) -> Iterator[np.ndarray]:
-        """Rows of _SYMBOL as columns of one array, a piece of a zone at a time."""
-        b, n = boundaries(text, s), len(text)
-        for zone, (a, e) in enumerate(_merged([(max(0, x - s.head + 1), x + s.m) for x in sorted(marks)])):
-            first, last = np.searchsorted(b, a), np.searchsorted(b, min(e, n), side="right") - 1
-            for step in range(first, last, PIECE // 16):
-                own = b[step : min(last, step + PIECE // 16)]
-                after = b[step + 1 : step + 1 + len(own)]
-                before = np.concatenate([[b[step - 1] if step else -1], own[:-1]])
-                reach = np.maximum(b[np.minimum(np.searchsorted(b, own + s.reach), len(b) - 1)], own)
-                lo, hi = np.maximum(before - s.left + 1, 0), np.minimum(own - s.left, n - s.m)
-                inner0, inner1 = np.maximum(own - s.left, 0), np.minimum(own + s.m - s.left - s.gap + 1, n)
-                cover = np.maximum(hi + s.m, lo)
-                base = int(min(lo[0], inner0[0]))
-                buf = np.frombuffer(text[base : int(max(reach[-1], after[-1], inner1.max(), cover.max()))], np.uint8)
-                one, two = _Rolling(buf), _Rolling(buf, _OTHER)
-                c = (one.of(own - base, after - base) >> np.uint64(1)) | np.uint64(1)
-                same = np.full(len(own), 1, np.int64)
-                yield np.stack(
-                    [
-                        same * (z + zone), np.arange(len(own)) + (step - first), c.view(np.int64), after - own, same * pos, own, lo, hi,
-                        one.of(own - base, reach - base).view(np.int64), one.of(inner0 - base, np.maximum(inner0, inner1) - base).view(np.int64),
-                        one.of(lo - base, cover - base).view(np.int64), two.of(lo - base, cover - base).view(np.int64),
-                    ]
-                )
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in _SYMBOL.split(", ")]
-        z, held, rows = TaskContext.get().partitionId() << 34, [], 0
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(held, 1)], names=names)
-        for batch in it:
-            at = batch.schema.get_field_index("marks")
-            for pos, marks, text in zip(batch.column(batch.schema.get_field_index("pos")).to_pylist(), batch.column(at), texts(batch, "text"), strict=True):
-                for part in symbols(z, pos, text, marks.values.to_numpy().tolist()):
-                    held.append(part)
-                    rows += part.shape[1]
-                    if rows >= 1 << 16:
-                        yield out()
-                        held, rows = [], 0
-                z += len(marks.values) + 1
-        if held:
-            yield out()
-
-    return zone_texts.select("pos", "marks", "text").mapInArrow(run, _SYMBOL)
+def strings(at: np.ndarray, marks: np.ndarray, s: Shape, most: int) -> Iterator[tuple[int, int, int]]:
+    """(first, last, end) of the strings of a text's anchors: marked ones from first to last are the string's own, and the
+    chunks before end reach m bytes from each. No string has more than `most` own ones and what its last needs."""
+    own = np.searchsorted(at, marks)
+    ends = np.maximum(np.searchsorted(at, marks + s.m - s.ahead), own + 1)
+    first = last = end = -1
+    for i, e in zip(own.tolist(), ends.tolist(), strict=True):
+        if first >= 0 and (i > end or i - first >= most):
+            yield first, last, end
+            first = -1
+        first = i if first < 0 else first
+        last, end = i, e
+    if first >= 0:
+        yield first, last, end
 
 
-def _stretches(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each stretch of a text."""
-    base = int(a.min())
-    buf = np.frombuffer(text[base : int(b.max())], np.uint8)
-    return tuple(_Rolling(buf, w).of(a - base, b - base).view(np.int64) for w in (_BYTE, _OTHER))
+_SYMBOL = "z long, i long, b long, chunk binary, pos long, at long, lo long, hi long, kind int"
 
 
-def _runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which run, value) of all values from first to last of each run."""
-    n = last - first + 1
-    which = np.repeat(np.arange(len(n)), n)
-    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
+def symbols(zone_texts: DataFrame, s: Shape) -> DataFrame:
+    """The chunks of all strings: string z, number i, its b bytes; the text and the anchor that it belongs to with its
+    windows (pos, at, lo to hi); kind is 1 for an own marked anchor with a core that is to be compared, 2 for one of a core that
+    too many anchors have, and 0 for what only continues others."""
 
-
-#: Windows of a boundary that are compared together before each is.
-TOGETHER = 8
-
-
-def _of_texts(zone_texts: DataFrame, rows: DataFrame, fields: list[str], make, names: list[str]) -> DataFrame:
-    """make(text, columns of rows) for each text that rows (pos and fields, longs) speak of; gives columns of names."""
-    held = rows.groupBy("pos").agg(F.collect_list(F.struct(*fields)).alias("x"))
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = TaskContext.get().partitionId() << 34
+        names = [f.split()[0] for f in _SYMBOL.split(", ")]
+        for batch in it:
+            field = lambda name: batch.column(batch.schema.get_field_index(name))
+            for pos, marks, hot, text in zip(field("pos").to_pylist(), field("marks"), field("hot"), texts(batch, "text"), strict=True):
+                at, lo, hi = anchors(text, s)
+                marks, hot = marks.values.to_numpy(), np.array(hot.as_py())
+                order = np.argsort(marks)
+                marks, hot = marks[order], hot[order]
+                kind = np.zeros(len(at), np.int32)
+                kind[np.searchsorted(at, marks)] = 1 + hot
+                for first, last, end in strings(at, marks, s, PIECE // 16):
+                    n = end - first
+                    a = at[first:end]
+                    cuts = np.minimum(np.concatenate([a, at[end : end + 1] if end < len(at) else [len(text)]]) + s.ahead, len(text)).tolist()
+                    chunks = [text[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+                    own = np.where(np.arange(first, end) <= last, kind[first:end], 0).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, z)), pa.array(np.arange(n)), pa.array(np.diff(cuts)), pa.array(chunks, pa.binary()), pa.array(np.full(n, pos)), pa.array(a), pa.array(lo[first:end]), pa.array(hi[first:end]), pa.array(own)],
+                        names=names,
+                    )
+                    z += 1
+
+    return zone_texts.select("pos", "marks", "hot", "text").mapInArrow(run, _SYMBOL)
+
+
+_PLACE = "k0 long, k1 long, rank long, pos long, at long, lo long, hi long, left binary, right binary"
+
+
+def places(zone_texts: DataFrame, rows: DataFrame, s: Shape) -> DataFrame:
+    """rows (pos, at, lo, hi, rank) with the bytes before their anchors, those after the core, and the core's hash."""
+    fields = ["at", "lo", "hi", "rank"]
+    held = rows.groupBy("pos").agg(F.collect_list(F.struct(*fields)).alias("x"))  # of one text
     both = zone_texts.select("pos", "text").join(held, "pos").select("pos", "text", *(F.col(f"x.{f}").alias(f) for f in fields))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in _PLACE.split(", ")]
         for batch in it:
-            for i, (pos, text) in enumerate(zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True)):
-                columns = {f: batch.column(2 + j)[i].values.to_numpy() for j, f in enumerate(fields)}
-                step = 1 << 14
-                for at in range(0, len(columns[fields[0]]), step):
-                    made = make(text, {f: c[at : at + step] for f, c in columns.items()})
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made[0]), pos)), *map(pa.array, made)], names=["pos", *names])
+            for n, (pos, text) in enumerate(zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True)):
+                whole = [batch.column(2 + j)[n].values.to_numpy() for j in range(len(fields))]
+                for i in range(0, len(whole[0]), 1 << 14):
+                    at, lo, hi, rank = (c[i : i + (1 << 14)] for c in whole)
+                    starts = at.tolist()
+                    key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[a : a + s.core]) for a in starts), np.int64).reshape(-1, 2)
+                    left = [text[max(0, a - s.head + 1) : a] for a in starts]
+                    right = [text[a + s.core : a + s.m] for a in starts]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(rank), pa.array(np.full(len(at), pos)), pa.array(at), pa.array(lo), pa.array(hi), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                        names=names,
+                    )
+
+    return both.mapInArrow(run, _PLACE)
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    if a == b:
+        return len(a)
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return n - (x.bit_length() + 7) // 8
+
+
+def common_suffix(a: bytes, b: bytes) -> int:
+    if a == b:
+        return len(a)
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    x = int.from_bytes(a[-n:], "little") ^ int.from_bytes(b[-n:], "little")
+    return n - (x.bit_length() + 7) // 8
+
+
+def _union(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Unions of closed ranges that overlap or follow each other."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(pairs):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
 
-    return both.mapInArrow(run, ", ".join(f"{x} long" for x in ["pos", *names]))
 
+def repeats(kinds: list[tuple[int, int, bytes, bytes]], s: Shape) -> list[list[tuple[int, int]]]:
+    """For the different surroundings of one core, in the order of their suffixes, (least and greatest d of its windows,
+    bytes before the anchor, bytes after the core): the ranges of d whose windows another one has too."""
+    shared = [common_prefix(x[3], y[3]) for x, y in zip(kinds, kinds[1:], strict=False)]
+    if len(kinds) > FEW:
+        return _repeats_of_many(kinds, np.array(shared), s)
+    out: list[list[tuple[int, int]]] = [[] for _ in kinds]
+    need = s.m - s.core
+    for i, (lo, hi, left, _) in enumerate(kinds):
+        least = need
+        for j in range(i + 1, len(kinds)):
+            least = min(least, shared[j - 1])  # the common prefix is the least of those between
+            if need - least > hi:
+                break
+            a, b = max(lo, kinds[j][0], need - least), min(hi, kinds[j][1])
+            if a <= b and (b := min(b, common_suffix(left, kinds[j][2]))) >= a:
+                out[i].append((a, b))
+                out[j].append((a, b))
+    return [_union(x) if len(x) > 1 else x for x in out]
+
+
+def _repeats_of_many(kinds: list[tuple[int, int, bytes, bytes]], shared: np.ndarray, s: Shape) -> list[list[tuple[int, int]]]:
+    """repeats() by runs: for each d, those that agree in all that a window has after the anchor are neighbours in the order
+    of suffixes, and those that agree in d bytes before it are in the order of these."""
+    n = len(kinds)
+    lo, hi = np.array([x[0] for x in kinds]), np.array([x[1] for x in kinds])
+    order = sorted(range(n), key=lambda i: kinds[i][2][::-1])
+    before = np.array([common_suffix(kinds[i][2], kinds[j][2]) for i, j in zip(order, order[1:], strict=False)])
+    hit = np.zeros((n, s.head + 2), bool)
+    which = np.zeros(n, np.int64)
+    for d in range(int(lo.min()), int(hi.max()) + 1):
+        own = np.flatnonzero((lo <= d) & (d <= hi))
+        if len(own) > 1:
+            run = np.concatenate([[0], np.cumsum(shared < s.m - s.core - d)])
+            which[order] = np.concatenate([[0], np.cumsum(before < d)])
+            _, key, count = np.unique((run * n + which)[own], return_inverse=True, return_counts=True)
+            hit[own, d + 1] = count[key] > 1
+    edges = np.diff(hit.astype(np.int8), axis=1, append=np.int8(0))
+    return [list(zip(np.flatnonzero(e == 1).tolist(), (np.flatnonzero(e == -1) - 1).tolist(), strict=True)) for e in edges]
+
+
+def _of_classes(s: Shape):
+    """pos, lo, hi: starts of repeated windows, from places that are sorted by core and rank."""
+
+    def solved(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        kinds: dict[tuple[bytes, bytes], int] = {}
+        own = [kinds.setdefault((r[4], r[5]), len(kinds)) for r in rows]
+        if len(kinds) == 1:
+            yield from ((r[0], r[2], r[3]) for r in rows)
+            return
+        count = [0] * len(kinds)
+        first: list[tuple] = [()] * len(kinds)
+        for kind, r in zip(own, rows, strict=True):
+            count[kind] += 1
+            first[kind] = first[kind] or (r[1] - r[3], r[1] - r[2], r[4], r[5])
+        found = repeats(first, s)
+        for kind, r in zip(own, rows, strict=True):
+            if count[kind] > 1:
+                yield r[0], r[2], r[3]
+            else:
+                yield from ((r[0], r[1] - b, r[1] - a) for a, b in found[kind])
 
-def _blocks(m: int, left: int):
-    """Windows of boundaries by TOGETHER: hashes of the bytes that they cover (c0, c1) and that they share (i0, i1), both
-    with their distances to the boundary, the windows' starts (lo to hi) and n."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("pos", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
-    def make(text: bytes, x: dict[str, np.ndarray]) -> list[np.ndarray]:
-        which, j = _runs((x["at"] - x["hi"] - left) // TOGETHER, (x["at"] - x["lo"] - left) // TOGETHER)
-        at = x["at"][which]
-        near = left + TOGETHER * j
-        hi, lo = np.minimum(at - near, x["hi"][which]), np.maximum(at - near - TOGETHER + 1, x["lo"][which])
-        c0, c1 = _stretches(text, lo, hi + m)
-        i0, i1 = _stretches(text, at - near, at - near - TOGETHER + 1 + m)
-        salt = lambda h, d: h ^ ((d + 1) * np.int64(0x1E3779B97F4A7C15))
-        return [salt(c0, (at - lo) * 4096 + at - hi), c1, salt(i0, near), i1, lo, hi, x["n"][which]]
+        def rows() -> Iterator[tuple]:
+            key, held = None, []
+            for batch in it:
+                keys = np.stack([batch.column(j).to_numpy() for j in (0, 1)])
+                cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1).tolist(), batch.num_rows]
+                values = list(zip(*(batch.column(j).to_pylist() for j in range(3, 9)), strict=True))
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if a == b:
+                        continue
+                    now = keys[0, a], keys[1, a]
+                    if now != key:
+                        yield from solved(held) if len(held) > 1 else ()
+                        key, held = now, []
+                    held += values[a:b]
+            yield from solved(held) if len(held) > 1 else ()
+
+        yield from batches(rows(), schema, size=1 << 16)
 
-    return make
+    return run
 
 
-def _windows(m: int):
-    """Each window of ranges: the hash of its bytes (w0, w1), its start and n."""
+def _one_by_one(s: Shape):
+    """w0, w1 (the hash of its bytes), pos and start of each window of places."""
 
-    def make(text: bytes, x: dict[str, np.ndarray]) -> list[np.ndarray]:
-        which, start = _runs(x["lo"], x["hi"])
-        return [*_stretches(text, start, start + m), start, x["n"][which]]
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c, pa.int64()) for c in ("w0", "w1", "pos", "start")])
 
-    return make
+        def rows() -> Iterator[tuple]:
+            for batch in it:
+                for k0, k1, _, pos, at, lo, hi, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    core = np.array([k0, k1], np.int64).tobytes()
+                    for d in range(at - hi, at - lo + 1):
+                        w = xxhash.xxh3_128_intdigest(core + d.to_bytes(4) + left[len(left) - d :] + right[: s.m - s.core - d])
+                        yield (w >> 64) - (1 << 63), (w & ((1 << 64) - 1)) - (1 << 63), pos, at - d
+
+        yield from batches(rows(), schema, size=1 << 16)
+
+    return run
 
 
-def repeated(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeated(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, ranges, zone texts): rows has pos, doc_id, sha, n_bytes, copies of every row of docs; ranges has the starts
     (arrays lo, hi: from and to) of repeated windows by pos, for texts that have only one row or fewer bytes than a window has."""
     s = Shape(m)
@@ -350,57 +393,46 @@ def repeated(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: st
     once = table.join(spare, "pos", "left_anti")
     marks = once.select("pos", F.explode(F.arrays_zip("at", "core")).alias("x")).select("pos", F.col("x.at").alias("at"), F.col("x.core").alias("core"))
     # written first: a join with the bare aggregate could not split a frequent core; broadcast, after a count, while it is small
-    twice = cut(marks.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "twice")
-    wanted = cut(marks.join(small(twice, 500_000), "core").groupBy("pos").agg(F.collect_list("at").alias("marks")), "marks")
+    twice = cut(marks.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core", (F.col("n") > most).alias("hot")), "twice")
+    some_hot = not twice.filter("hot").isEmpty()
+    wanted = cut(marks.join(small(twice), "core").groupBy("pos").agg(F.collect_list(F.struct("at", "hot")).alias("marks")), "marks")
     sought = cut(wanted.join(table.select("pos", "doc_id", "sha"), "pos").select("pos", "marks", F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")), "sought")
     drop_cut(wanted)
+    drop_cut(twice)
     release(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ids = small(sought.select("__id").distinct())
     near = plain.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").withColumn("sha", F.unhex(F.sha2("text", 256)))
-    found = near.join(sought, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))).select("pos", "marks", "text")
+    found = near.join(sought, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))).select("pos", F.col("marks.at").alias("marks"), F.col("marks.hot").alias("hot"), "text")
     if not rows.filter("copies > 1").groupBy("doc_id", "sha").count().filter("count > 1").isEmpty():
         found = found.dropDuplicates(["pos"])  # rows that repeat id and text
     zone_texts = cut(found, "zones")
-    symbols = cut(phrases(zone_texts, s), "symbols")
-    # suffixes that agree over `reach` bytes need no further order
-    ranks = suffix_ranks(symbols.select("z", "i", "c", "b"), s.reach)
-    ordered = cut(ranks.join(symbols.drop("c", "b"), ["z", "i"]).withColumn("kind", F.lit(0)), "ordered")
+    drop_cut(sought)
+    release(docs.sparkSession)
+    sym = cut(symbols(zone_texts, s), "symbols")
+    named = ranked(sym.withColumn("kind", F.lit(0)), ["chunk"], ["chunk"], ["z", "i", "b"], ["z", "i"]).select("z", "i", (F.col("n0") + 1).alias("c"), "b")
+    # suffixes that agree over m bytes from their anchors on need no further order
+    ranks = suffix_ranks(named, s.m - s.ahead)
+    ordered = ranks.join(sym.filter("kind > 0").select("z", "i", "kind", "pos", "at", "lo", "hi"), ["z", "i"]).drop("z", "i")
+    if some_hot:
+        ordered = cut(ordered, "ordered")
+    n = partitions(docs.sparkSession)
+    ranges = places(zone_texts, ordered.filter("kind = 1"), s).repartition(n, "k0", "k1").sortWithinPartitions("k0", "k1", "rank").mapInArrow(_of_classes(s), "pos long, lo long, hi long")
+    if some_hot:
+        windows = cut(places(zone_texts, ordered.filter("kind = 2"), s).mapInArrow(_one_by_one(s), "w0 long, w1 long, pos long, start long"), "windows")
+        again = cut(windows.groupBy("w0", "w1").count().filter("count > 1").select("w0", "w1"), "again")
+        ranges = ranges.unionByName(windows.join(again, ["w0", "w1"]).select("pos", F.col("start").alias("lo"), F.col("start").alias("hi")))
+    ranges = cut(ranges.groupBy("pos").agg(F.collect_list(F.struct("lo", "hi")).alias("r")).select("pos", "r.lo", "r.hi"), "ranges")
     drop_cut(ranks)
-    keep = ["pos", "at", "lo", "hi", "inner", "cover0", "cover1"]
-    # neighbours in the order of suffixes that agree over the next phrases are one class
-    classes = ranked(ordered, ["rank"], ["prefix"], keep, ["prefix", "z", "i"])
-    members = cut(classes.filter("lo <= hi").select(F.col("n0").alias("class"), *keep), "members")
-    drop_cut(ordered)
-    drop_cut(symbols)
+    drop_cut(sym)
     release(docs.sparkSession)
-    sig = ["class", "inner", "l0", "l1", "cover0", "cover1"]
-    members = members.withColumns({"l0": F.col("at") - F.col("lo"), "l1": F.col("at") - F.col("hi")})
-    kinds = cut(members.groupBy(*sig).agg(F.count("*").alias("n"), F.min(F.struct("pos", "at", "lo", "hi")).alias("one")), "kinds")
-    same = members.join(kinds.filter("n > 1").select(*sig), sig, "left_semi").select("pos", "lo", "hi")
-    # windows can only be equal where boundaries of a class agree in the bytes that all their windows share
-    mixed = kinds.groupBy("class", "inner").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select("class", "inner")
-    unclear = kinds.join(mixed, ["class", "inner"]).select("n", "one.*")
-    blocks = cut(_of_texts(zone_texts, unclear, ["at", "lo", "hi", "n"], _blocks(m, s.left), ["c0", "c1", "i0", "i1", "lo", "hi", "n"]), "blocks")
-    # equal blocks repeat as a whole
-    whole = blocks.groupBy("c0", "c1").agg(F.count("*").alias("k")).filter("k > 1").select("c0", "c1", F.lit(True).alias("whole"))
-    blocks = cut(blocks.join(whole, ["c0", "c1"], "left").select("pos", "i0", "i1", "lo", "hi", F.when(F.coalesce("whole", F.lit(False)), 2).otherwise(F.col("n")).cast("long").alias("n"), ((F.col("n") == 1) & F.coalesce("whole", F.lit(False))).alias("found")), "blocks")
-    # of the others, those that share no bytes with another block repeat nowhere
-    open_ = blocks.groupBy("i0", "i1").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select("i0", "i1")
-    rest = blocks.join(open_, ["i0", "i1"], "left_semi")
-    windows = cut(_of_texts(zone_texts, rest, ["lo", "hi", "n"], _windows(m), ["w0", "w1", "start", "n"]), "windows")
-    key = ["w0", "w1"]
-    again = windows.groupBy(*key).agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select(*key)
-    single = windows.filter("n = 1").join(again, key, "left_semi").select("pos", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    single = single.unionByName(blocks.filter("found").select("pos", "lo", "hi"))
-    ranges = cut(same.unionByName(single).groupBy("pos").agg(F.collect_list(F.struct("lo", "hi")).alias("r")).select("pos", "r.lo", "r.hi"), "ranges")
     return rows, ranges, zone_texts
 
 
 _RESULT = "pos long, spans array<struct<start:long,end:long>>, n_removed long, kept binary"
 
 
-def _union(lo: np.ndarray, hi: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+def _removed(lo: np.ndarray, hi: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the unions of windows of m bytes that start at lo to hi."""
     order = np.argsort(lo, kind="stable")
     lo, end = lo[order], np.maximum.accumulate(hi[order] + m)
@@ -416,7 +448,7 @@ def _apply(m: int, with_text: bool):
         def rows() -> Iterator[tuple]:
             for batch in it:
                 for pos, text, lo, hi in zip(batch.column(0).to_pylist(), texts(batch, "text"), batch.column(2), batch.column(3), strict=True):
-                    starts, ends = (x.tolist() for x in _union(lo.values.to_numpy(), hi.values.to_numpy(), m))
+                    starts, ends = (x.tolist() for x in _removed(lo.values.to_numpy(), hi.values.to_numpy(), m))
                     kept = b"".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)], strict=True))
                     yield pos, [{"start": a, "end": b} for a, b in zip(starts, ends, strict=True)], len(text) - len(kept), kept if with_text else hashlib.sha256(kept).digest()
 
@@ -425,7 +457,7 @@ def _apply(m: int, with_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, most: int = MOST) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, spans (removed ranges), kept (remaining bytes; null where
     nothing goes, which leaves the text), kept_sha256.
 
@@ -434,7 +466,7 @@ def suffix_dedup(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col
     each other like any equal texts. Texts of fewer than m bytes stay. An empty table gives no rows; other columns are
     ignored. with_text=False leaves kept null.
     """
-    rows, ranges, zone_texts = repeated(docs, m, id_col, text_col)
+    rows, ranges, zone_texts = repeated(docs, m, id_col, text_col, most)
     cutting = zone_texts.select("pos", "text").join(ranges, "pos").mapInArrow(_apply(m, with_text), _RESULT)
     cutting = cut(cutting, "cutting")
     got = rows.join(cutting, "pos", "left")
