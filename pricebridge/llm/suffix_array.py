@@ -7,7 +7,8 @@ suffixes, at 0 mod 3, are merged: against positions 1 mod 3 by (symbol, rank of
 by (symbol, symbol, rank of the one after).
 
 Ranks count the strictly smaller suffixes, so equal suffixes share one. Suffixes count as equal when they are so for
-`depth` bytes: the recursion ends at the level where names either differ, reach a string's end or span that much.
+`depth` bytes: a name is clear if no other has it, if it reaches its string's end or spans that much. The recursion ends
+where all names are clear; where less than half are not, only these go on, each run of them with the clear one behind it.
 
 Sorts are by range with the position as the last key, so one symbol that a third of all rows bear spreads over
 partitions. A partition reports only its counts and its first and last key.
@@ -21,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import cut, drop_cut, partitions, release
+from pricebridge.llm.common import cut, drop_cut, partitions, release, small
 
 
 def _as_longs(column: pa.Array) -> np.ndarray:
@@ -74,7 +75,7 @@ def ranked(rows: DataFrame, order: list[str], run: list[str], keep: list[str], t
     """keep, n0, n1 of every row: the rows of kind 0 and of kind 1 in strictly smaller runs.
 
     Rows are sorted by order, then tie; a run are neighbours that agree in the run columns. All columns are longs but
-    kind, an int, and columns of order and run that are byte strings. rows should be cheap to read twice. The result is written and read again.
+    kind, an int, and columns of order and run that are byte strings. rows should be cheap to read twice. What is counted in partitions is written; drop_cut() of the result deletes it.
     """
     spark = rows.sparkSession
     n = partitions(spark)
@@ -99,31 +100,61 @@ def ranked(rows: DataFrame, order: list[str], run: list[str], keep: list[str], t
     table = spark.createDataFrame(offsets, "part int, o0 long, o1 long, h0 long, h1 long")
     inside = (F.col("l0") + F.col("l1")) > 0  # else the partition's first run
     joined = local.join(F.broadcast(table), "part")  # one row per partition
-    return joined.select(*keep, F.when(inside, F.col("o0") + F.col("l0")).otherwise(F.col("h0")).alias("n0"), F.when(inside, F.col("o1") + F.col("l1")).otherwise(F.col("h1")).alias("n1"))
+    out = joined.select(*keep, F.when(inside, F.col("o0") + F.col("l0")).otherwise(F.col("h0")).alias("n0"), F.when(inside, F.col("o1") + F.col("l1")).otherwise(F.col("h1")).alias("n1"))
+    out._cut_path = local._cut_path
+    return out
 
 
 def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
     """z, i, rank of every suffix of strings (z, i, c, b), all longs, i from 0 without gaps, c above 0."""
+    return _ranks(strings.withColumn("stop", F.lit(0)), depth)
+
+
+def _ahead(*columns: str) -> list[Column]:
+    """The columns one and two positions on (in this order, column by column), 0 beyond a stop or a gap."""
     along = Window.partitionBy("z").orderBy("i")
-    ahead = lambda c, n: F.lead(c, n, 0).over(along)
-    level = cut(strings.select("z", "i", "c", "b", ahead("c", 1).alias("c1"), ahead("c", 2).alias("c2"), (F.col("b") + ahead("b", 1) + ahead("b", 2)).alias("b3")), "level")
+    one = (F.lead("i", 1).over(along) == F.col("i") + 1) & (F.col("stop") == 0)
+    two = one & (F.lead("i", 2).over(along) == F.col("i") + 2) & (F.lead("stop", 1).over(along) == 0)
+    return [F.when(ok, F.lead(c, n).over(along)).otherwise(0).alias(f"{c}{n}") for c in columns for n, ok in ((1, one), (2, two))]
+
+
+def _ranks(strings: DataFrame, depth: int) -> DataFrame:
+    """suffix_ranks of strings that end at gaps of i, too, and behind rows with a stop."""
+    spark = strings.sparkSession
+    level = cut(strings.select("z", "i", "c", "b", "stop", *_ahead("c", "b")).select("z", "i", "c", "stop", "c1", "c2", (F.col("b") + F.col("b1") + F.col("b2")).alias("b3")), "level")
     mod = F.col("i") % 3
     sample = level.filter(mod != 0).withColumn("kind", F.lit(0))
-    names = cut(ranked(sample, ["c", "c1", "c2"], ["c", "c1", "c2"], ["z", "i", "b3", "c2"], ["z", "i"]), "names")
-    after = names.select((F.col("z") * 2 + mod - 1).alias("z"), F.floor(F.col("i") / 3).alias("i"), (F.col("n0") + 1).alias("c"), F.col("b3").alias("b"))
+    names = ranked(sample, ["c", "c1", "c2"], ["c", "c1", "c2"], ["z", "i", "b3", "c2"], ["z", "i"])
+    counted, names = names, names.withColumnRenamed("n0", "name")
     short = F.when((F.col("c2") != 0) & (F.col("b3") < depth), 1)  # neither at its string's end nor deep enough
-    unclear = names.groupBy("n0").agg(F.count("*").alias("n"), F.count(short).alias("short")).filter("n > 1 AND short > 0")
-    if unclear.isEmpty():
-        deeper = None
-        ranks = names.select("z", "i", (F.col("n0") + 1).alias("r"))
+    unclear = cut(names.groupBy("name").agg(F.count("*").alias("n"), F.count(short).alias("short")).select("name", "n", ((F.col("n") > 1) & (F.col("short") > 0)).alias("open")), "unclear")
+    n, n_open = unclear.agg(F.sum("n"), F.sum(F.when(F.col("open"), F.col("n")).otherwise(0))).first()
+    below = lambda rows: rows.select((F.col("z") * 2 + mod - 1).alias("z"), F.floor(F.col("i") / 3).alias("i"), (F.col("name") + 1).alias("c"), F.col("b3").alias("b"), F.when(F.col("c2") == 0, 1).otherwise(0).alias("stop"))
+    above = lambda rows: rows.select(F.floor(F.col("z") / 2).alias("z"), (F.col("i") * 3 + F.col("z") % 2 + 1).alias("i"), "rank")
+    deeper = None
+    if not n_open:
+        ranks = names.select("z", "i", (F.col("name") + 1).alias("r"))
+    elif 2 * n_open > n:
+        deeper = _ranks(below(names), depth)
+        ranks = above(deeper).select("z", "i", (F.col("rank") + 1).alias("r"))
     else:
-        deeper = suffix_ranks(after, depth)
-        ranks = deeper.select(F.floor(F.col("z") / 2).alias("z"), (F.col("i") * 3 + F.col("z") % 2 + 1).alias("i"), (F.col("rank") + 1).alias("r"))
-    full = level.join(ranks, ["z", "i"], "left").withColumn("r", F.coalesce("r", F.lit(0)))
-    release(strings.sparkSession)
-    full = cut(full.select("z", "i", "c", "c1", "r", ahead("r", 1).alias("r1"), ahead("r", 2).alias("r2")), "full")
-    drop_cut(names)
-    drop_cut(level)
+        # a clear name settles what stands before it: unclear ones go on with no more than the next one
+        open_ = cut(names.join(small(unclear.filter("open").select("name")), "name", "left_semi"), "open")
+        behind = names.join(open_.select("z", (F.col("i") + 3).alias("i")), ["z", "i"], "left_semi")
+        deeper = _ranks(below(open_.select(*names.columns).unionByName(behind).distinct()), depth)
+        within = ranked(open_.select("z", "i", "name").join(above(deeper), ["z", "i"]).withColumn("kind", F.lit(0)), ["name", "rank"], ["name", "rank"], ["z", "i", "name"], ["z", "i"])
+        first = within.groupBy("name").agg(F.min("n0").alias("first"))
+        settled = within.join(first, "name").select("z", "i", (F.col("name") + F.col("n0") - F.col("first") + 1).alias("r"))
+        ranks = settled.unionByName(names.join(small(unclear.filter("open").select("name")), "name", "left_anti").select("z", "i", (F.col("name") + 1).alias("r")))
+    # one exchange for the join and for what looks ahead
+    none = F.lit(None).cast("long")
+    both = level.select("z", "i", "c", "c1", "stop", none.alias("r")).unionByName(ranks.select("z", "i", none.alias("c"), none.alias("c1"), none.cast("int").alias("stop"), "r"))
+    full = both.repartition(partitions(spark), "z").groupBy("z", "i").agg(F.max("c").alias("c"), F.max("c1").alias("c1"), F.max("stop").alias("stop"), F.coalesce(F.max("r"), F.lit(0)).alias("r"))
+    full = cut(full.select("z", "i", "c", "c1", "r", *_ahead("r")), "full")
+    for done in (level, counted, unclear, deeper):
+        if done is not None:
+            drop_cut(done)
+    release(spark)
     a = ranked(full.filter(mod != 2).withColumn("kind", mod.cast("int")), ["c", "r1"], ["c", "r1"], ["z", "i"], ["z", "i"])
     b = ranked(full.filter(mod != 1).withColumn("kind", F.when(mod == 0, 0).otherwise(1)), ["c", "c1", "r2"], ["c", "c1", "r2"], ["z", "i"], ["z", "i"])
     # smaller suffixes by class: at 0 mod 3 all of A and B's sample; at 1 and 2 mod 3 the sample's rank and those at 0 mod 3
@@ -133,8 +164,7 @@ def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
         .unionByName(full.filter(mod != 0).select("z", "i", (F.col("r") - 1).alias("s")))
     )
     out = cut(share.groupBy("z", "i").agg(F.sum("s").alias("rank")), "ranks")
-    drop_cut(full)
-    release(strings.sparkSession)
-    if deeper is not None:
-        drop_cut(deeper)
+    for done in (full, a, b):
+        drop_cut(done)
+    release(spark)
     return out

@@ -2,10 +2,10 @@
 
 1. Texts that are equal count once from here on; each knows its copies.
 2. The suffixes that are sorted begin at anchors: the anchor of a window of m bytes is the least of the k-gram hashes at
-   its first m/3 positions, so it depends on the window alone, and each anchor has a run of windows. Anchors whose first
-   m - m/3 + 1 bytes (the core, which all its windows hold) occur once in all texts have no window that repeats; they and
+   its first head = (m - 15) / 2 positions, so it depends on the window alone, and each anchor has a run of windows. Anchors whose first
+   m - head + 1 bytes (the core, which all its windows hold) occur once in all texts have no window that repeats; they and
    texts without others are left out, exactly.
-3. An anchor's next one depends on the first `ahead` bytes from it alone. So texts that agree in these are cut alike into
+3. An anchor's next one depends on the first `ahead` = head + 16 bytes from it alone. So texts that agree in these are cut alike into
    chunks from anchor + ahead on, and the order of their chunk strings is that of their bytes. Chunks are named in the
    order of their bytes, and the difference-cover algorithm sorts all suffixes of the strings of names.
 4. The remaining suffixes, those at the bytes between anchors, are merged into that order: a suffix d bytes before its
@@ -58,7 +58,7 @@ class Shape:
 
     @property
     def head(self) -> int:  # positions of a window among which its anchor is
-        return self.m // 3
+        return (self.m + 1 - self.k) // 2
 
     @property
     def core(self) -> int:  # bytes from an anchor on that all its windows hold
@@ -143,6 +143,39 @@ def cores(text: bytes, at: np.ndarray, s: Shape) -> np.ndarray:
     return out
 
 
+def anchored_cores(raw: list[bytes], s: Shape) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(positions of the anchors that have windows, hashes of their cores) of every text; many short texts at once."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))] * len(raw)
+    lots: list[list[int]] = [[]]
+    size = 0
+    for i, text in enumerate(raw):
+        if len(text) > PIECE:
+            at, lo, hi = anchors(text, s)
+            out[i] = at[lo <= hi], cores(text, at[lo <= hi], s)
+        elif len(text) >= s.m:
+            if size + len(text) > PIECE:
+                lots.append([])
+                size = 0
+            lots[-1].append(i)
+            size += len(text)
+    for lot in filter(None, lots):
+        joined = b"".join([raw[i] for i in lot])
+        ends = np.cumsum([len(raw[i]) for i in lot])
+        begins = np.concatenate([[0], ends[:-1]])
+        h = _hashes(joined, s.k).astype(np.uint64) << np.uint64(32)
+        least = (_sliding_min(h | np.arange(len(h), dtype=np.uint64), s.head) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        windows = np.zeros(len(joined) + 1, np.int8)  # a window reaches into no other text
+        windows[begins] += 1
+        windows[ends - s.m + 1] -= 1
+        found = least[np.flatnonzero(np.cumsum(windows)[: len(least)])]
+        found = found[np.concatenate([[True], found[1:] != found[:-1]])]
+        core = _Rolling(np.frombuffer(joined, np.uint8)).of(found, found + s.core)
+        cuts = np.searchsorted(found, ends)
+        for i, begin, a, b in zip(lot, begins.tolist(), [0, *cuts.tolist()], cuts.tolist(), strict=False):
+            out[i] = found[a:b] - begin, core[a:b]
+    return out
+
+
 def read_texts(docs: DataFrame, s: Shape, id_col: str, text_col: str) -> DataFrame:
     """pos, doc_id, sha, n_bytes of every row, with its anchors that have windows (at) and their cores."""
 
@@ -153,12 +186,9 @@ def read_texts(docs: DataFrame, s: Shape, id_col: str, text_col: str) -> DataFra
         def rows() -> Iterator[tuple]:
             nonlocal pos
             for batch in it:
-                for i, text in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
-                    at = np.zeros(0, np.int64)
-                    if len(text) >= s.m:
-                        at, lo, hi = anchors(text, s)
-                        at = at[lo <= hi]
-                    yield pos, i, hashlib.sha256(text).digest(), len(text), at, cores(text, at, s).view(np.int64)
+                raw = texts(batch, "text")
+                for i, text, (at, core) in zip(batch.column(0).to_pylist(), raw, anchored_cores(raw, s), strict=True):
+                    yield pos, i, hashlib.sha256(text).digest(), len(text), at, core.view(np.int64)
                     pos += 1
 
         yield from batches(rows(), schema, weigh=lambda r: 200 + 16 * len(r[4]))
@@ -183,6 +213,28 @@ def strings(at: np.ndarray, marks: np.ndarray, s: Shape, most: int) -> Iterator[
         yield first, last, end
 
 
+class _Columns:
+    """Columns (arrays of numbers, lists of byte strings) that are gathered into batches of at least `size` rows."""
+
+    def __init__(self, schema: str, size: int = 1 << 14):
+        self.fields, self.size = [f.split() for f in schema.split(", ")], size
+        self.held: list[list] = [[] for _ in self.fields]
+        self.rows = 0
+
+    def add(self, *columns) -> Iterator[pa.RecordBatch]:
+        for held, c in zip(self.held, columns, strict=True):
+            held.append(c)
+        self.rows += len(columns[0])
+        if self.rows >= self.size:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            columns = [pa.array([x for part in c for x in part], pa.binary()) if kind == "binary" else pa.array(np.concatenate(c)) for (_, kind), c in zip(self.fields, self.held, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=[name for name, _ in self.fields])
+            self.held, self.rows = [[] for _ in self.fields], 0
+
+
 _SYMBOL = "z long, i long, b long, chunk binary, pos long, at long, lo long, hi long, kind int"
 
 
@@ -193,7 +245,7 @@ def symbols(zone_texts: DataFrame, s: Shape) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = TaskContext.get().partitionId() << 34
-        names = [f.split()[0] for f in _SYMBOL.split(", ")]
+        out = _Columns(_SYMBOL)
         for batch in it:
             field = lambda name: batch.column(batch.schema.get_field_index(name))
             for pos, marks, hot, text in zip(field("pos").to_pylist(), field("marks"), field("hot"), texts(batch, "text"), strict=True):
@@ -206,14 +258,13 @@ def symbols(zone_texts: DataFrame, s: Shape) -> DataFrame:
                 for first, last, end in strings(at, marks, s, PIECE // 16):
                     n = end - first
                     a = at[first:end]
-                    cuts = np.minimum(np.concatenate([a, at[end : end + 1] if end < len(at) else [len(text)]]) + s.ahead, len(text)).tolist()
-                    chunks = [text[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+                    cuts = np.minimum(np.concatenate([a, at[end : end + 1] if end < len(at) else [len(text)]]) + s.ahead, len(text))
                     own = np.where(np.arange(first, end) <= last, kind[first:end], 0).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, z)), pa.array(np.arange(n)), pa.array(np.diff(cuts)), pa.array(chunks, pa.binary()), pa.array(np.full(n, pos)), pa.array(a), pa.array(lo[first:end]), pa.array(hi[first:end]), pa.array(own)],
-                        names=names,
-                    )
+                    x = cuts.tolist()
+                    chunks = [text[x[i] : x[i + 1]] for i in range(n)]
+                    yield from out.add(np.full(n, z), np.arange(n), np.diff(cuts), chunks, np.full(n, pos), a, lo[first:end], hi[first:end], own)
                     z += 1
+        yield from out.rest()
 
     return zone_texts.select("pos", "marks", "hot", "text").mapInArrow(run, _SYMBOL)
 
@@ -228,7 +279,7 @@ def places(zone_texts: DataFrame, rows: DataFrame, s: Shape) -> DataFrame:
     both = zone_texts.select("pos", "text").join(held, "pos").select("pos", "text", *(F.col(f"x.{f}").alias(f) for f in fields))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in _PLACE.split(", ")]
+        out = _Columns(_PLACE)
         for batch in it:
             for n, (pos, text) in enumerate(zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True)):
                 whole = [batch.column(2 + j)[n].values.to_numpy() for j in range(len(fields))]
@@ -238,10 +289,8 @@ def places(zone_texts: DataFrame, rows: DataFrame, s: Shape) -> DataFrame:
                     key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[a : a + s.core]) for a in starts), np.int64).reshape(-1, 2)
                     left = [text[max(0, a - s.head + 1) : a] for a in starts]
                     right = [text[a + s.core : a + s.m] for a in starts]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(rank), pa.array(np.full(len(at), pos)), pa.array(at), pa.array(lo), pa.array(hi), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                        names=names,
-                    )
+                    yield from out.add(key[:, 0], key[:, 1], rank, np.full(len(at), pos), at, lo, hi, left, right)
+        yield from out.rest()
 
     return both.mapInArrow(run, _PLACE)
 
@@ -410,9 +459,9 @@ def repeated(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: st
     drop_cut(sought)
     release(docs.sparkSession)
     sym = cut(symbols(zone_texts, s), "symbols")
-    named = ranked(sym.withColumn("kind", F.lit(0)), ["chunk"], ["chunk"], ["z", "i", "b"], ["z", "i"]).select("z", "i", (F.col("n0") + 1).alias("c"), "b")
+    named = ranked(sym.withColumn("kind", F.lit(0)), ["chunk"], ["chunk"], ["z", "i", "b"], ["z", "i"])
     # suffixes that agree over m bytes from their anchors on need no further order
-    ranks = suffix_ranks(named, s.m - s.ahead)
+    ranks = suffix_ranks(named.select("z", "i", (F.col("n0") + 1).alias("c"), "b"), s.m - s.ahead)
     ordered = ranks.join(sym.filter("kind > 0").select("z", "i", "kind", "pos", "at", "lo", "hi"), ["z", "i"]).drop("z", "i")
     if some_hot:
         ordered = cut(ordered, "ordered")
@@ -423,8 +472,8 @@ def repeated(docs: DataFrame, m: int = 400, id_col: str = "doc_id", text_col: st
         again = cut(windows.groupBy("w0", "w1").count().filter("count > 1").select("w0", "w1"), "again")
         ranges = ranges.unionByName(windows.join(again, ["w0", "w1"]).select("pos", F.col("start").alias("lo"), F.col("start").alias("hi")))
     ranges = cut(ranges.groupBy("pos").agg(F.collect_list(F.struct("lo", "hi")).alias("r")).select("pos", "r.lo", "r.hi"), "ranges")
-    drop_cut(ranks)
-    drop_cut(sym)
+    for done in (named, ranks, sym):
+        drop_cut(done)
     release(docs.sparkSession)
     return rows, ranges, zone_texts
 

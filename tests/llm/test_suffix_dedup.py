@@ -100,6 +100,16 @@ def test_pieces_do_not_change_the_result(monkeypatch):
     assert found() == whole
 
 
+def test_texts_at_once_are_as_one_by_one():
+    rng = random.Random(9)
+    raw = [bytes(rng.choice(b"abc ") for _ in range(rng.choice([0, 5, 47, 48, 49, 400]))) for _ in range(60)]
+    s = suffix_dedup.Shape(48)
+    for text, (at, core) in zip(raw, suffix_dedup.anchored_cores(raw, s), strict=True):
+        own, lo, hi = suffix_dedup.anchors(text, s)
+        own = own[lo <= hi]
+        assert at.tolist() == own.tolist() and core.tolist() == suffix_dedup.cores(text, own, s).tolist()
+
+
 def test_repeats_of_one_core_against_pairs():
     rng = random.Random(7)
     s = suffix_dedup.Shape(48)
