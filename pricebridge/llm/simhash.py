@@ -1,14 +1,16 @@
 """SimHash near-duplicates with BK-trees.
 
-Two fingerprints that differ in at most `radius` = 3 of 64 bits agree in one of four 16-bit bands, so each distinct
-fingerprint goes to the four shards (band, its value there), and a shard's fingerprints make a BK-tree: children are
-keyed by their Hamming distance to the parent, and a query follows only the keys within the radius of its own distance.
-Leaves hold small arrays. A shard of more than `most` fingerprints is cut by four bands of the bits that it does not
-share, and again, which loses no link. Shards hold distinct fingerprints, so thousands of copies are one entry.
-
-Trees are not broadcast: together they are as large as the fingerprints, which grow with the input. They meet their
-queries, which are the same shard's fingerprints, in the task that builds them. A shard gives the links of a spanning
-forest and not all pairs; components of all links follow from these.
+A tree of all fingerprints would have to be searched for each of them, and with random 64-bit values it leaves out only
+half of the edges a level: that grows by almost the square. So trees hold a bounded number of fingerprints. Two
+fingerprints that differ in at most `radius` = 3 of 64 bits agree in one of four 16-bit bands, so each distinct one goes
+to four shards, one a band, which hold all fingerprints with some of the band's values, and each shard is a BK-tree:
+children are keyed by their Hamming distance to the parent, and a query follows only the keys within the radius of its
+own distance. The number of shards grows with the input and the size of a tree does not. Shards hold distinct
+fingerprints, so thousands of copies are one entry.
+
+Trees are not broadcast: together they are the fingerprints of all documents, which must not pass through the driver. They
+meet their queries, which are the same shard's fingerprints, in the task that builds them. A shard gives the links of a
+spanning forest and not all pairs; components of all links follow from these.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import cut, limit_batches, partitions, small, texts
+from pricebridge.llm.common import cut, limit_batches, partitions, slices, small, texts
 from pricebridge.llm.components import connected_components
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 RADIUS = 3
-BUCKET = 256
+#: Fingerprints below which a tree branches no further, and those of a shard's tree: on average, and at most.
+HANDFUL, TREE, MOST = 4, 2048, 8192
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -64,54 +67,52 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BkTree:
-    """A BK-tree of distinct 64-bit fingerprints, built at once. Positions are those in the given array."""
+    """A BK-tree of distinct 64-bit fingerprints, built at once. Positions are those in the given array.
 
-    def __init__(self, fps: np.ndarray, at: np.ndarray | None = None, bucket: int = BUCKET):
+    A node's children are keyed by the Hamming distance of all their fingerprints to the node's own; up to `handful`
+    fingerprints are kept without further nodes.
+    """
+
+    def __init__(self, fps: np.ndarray, at: np.ndarray | None = None, handful: int = HANDFUL):
         at = np.arange(len(fps)) if at is None else at
         self.at, self.fps, self.children = at, fps, {}
-        if len(fps) > bucket:
+        if len(fps) > handful:
             self.at, self.fps = at[:1], fps[:1]
             d = np.bitwise_count(fps[1:] ^ fps[0])
-            for key in np.unique(d):
-                own = d == key
-                self.children[int(key)] = BkTree(fps[1:][own], at[1:][own], bucket)
+            order = np.argsort(d, kind="stable")
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(d[order])) + 1, [len(d)]]).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own = order[a:b] + 1
+                self.children[int(d[order[a]])] = BkTree(fps[own], at[own], handful)
 
     def find(self, queries: np.ndarray, who: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query positions, tree positions) of pairs within the radius, leaf by leaf."""
-        step = max(1, (1 << 18) // len(self.fps))
-        for i in range(0, len(queries), step):
-            x, y = np.nonzero(np.bitwise_count(queries[i : i + step, None] ^ self.fps[None, :]) <= radius)
-            if len(x):
-                yield who[i + x], self.at[y]
+        """(query positions, tree positions) of pairs within the radius; only edges whose key is within it are followed."""
+        d = np.bitwise_count(queries[:, None] ^ self.fps[None, :])
+        x, y = np.nonzero(d <= radius)
+        if len(x):
+            yield who[x], self.at[y]
         if self.children:
-            d = np.bitwise_count(queries ^ self.fps[0]).astype(np.int64)
+            own = d[:, 0].astype(np.int16)
             for key, child in self.children.items():
-                near = np.abs(d - key) <= radius
-                if near.any():
+                near = np.flatnonzero((own >= key - radius) & (own <= key + radius))
+                if len(near):
                     yield from child.find(queries[near], who[near], radius)
 
 
 def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links between distinct fingerprints (as Python ints) that connect all that are linked: each component's least with its others."""
-    n = len(fps)
-    if n <= 8:
-        root, values = list(range(n)), fps.tolist()
-        for i in range(1, n):
-            for j in range(i):
-                if root[i] != root[j] and (values[i] ^ values[j]).bit_count() <= radius:
-                    low, high = sorted((root[i], root[j]))
-                    root = [low if r == high else r for r in root]
-        return [(values[root[i]], values[i]) for i in range(n) if root[i] != i]
-    root = np.arange(n)
+    root = np.arange(len(fps))
     tree = BkTree(fps)
-    for x, y in tree.find(fps, np.arange(n), radius):
-        while True:
-            a, b = root[x], root[y]
-            apart = np.flatnonzero(a != b)
-            if not len(apart):
-                break
-            low, high = sorted((int(a[apart[0]]), int(b[apart[0]])))
-            root[root == high] = low
+    for start in range(0, len(fps), 8192):
+        own = np.arange(start, min(start + 8192, len(fps)))
+        for x, y in tree.find(fps[own], own, radius):
+            while True:
+                a, b = root[x], root[y]
+                apart = np.flatnonzero(a != b)
+                if not len(apart):
+                    break
+                low, high = sorted((int(a[apart[0]]), int(b[apart[0]])))
+                root[root == high] = low
     return [(int(fps[r]), int(fps[i])) for i, r in enumerate(root) if r != i]
 
 
@@ -157,12 +158,15 @@ def _bands(shared: int, width: int) -> list[Column]:
     return [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("rest", shared + i * width).bitwiseAND((1 << width) - 1).alias("value")) for i in range(4)]
 
 
-def shards(distinct: DataFrame, most: int) -> DataFrame:
+def shards(distinct: DataFrame, tree: int, most: int) -> DataFrame:
     """(shard long, fp): every fingerprint in shards such that any two within three bits share one.
 
-    Level by level: the bits that a shard's members do not share are kept in `rest`, low bits first; a shard of more
-    than `most` members goes on to the next level, the last one keeps what it has.
+    A shard holds all fingerprints with some values of one of four bands: as many values as give trees of about `tree`
+    fingerprints. Where values are so frequent that a shard has more than `most`, its fingerprints are dealt again, level
+    by level: the bits that a shard's members do not share are kept in `rest`, low bits first, and cut into four bands.
+    The last level keeps what it has.
     """
+    n = distinct.count()
     rows = distinct.select("fp", F.col("fp").alias("rest"), F.lit(0).cast("long").alias("shard"))
     done = None
     for left, width in ((64, 16), (48, 12), (36, 9), (28, 7)):
@@ -171,28 +175,34 @@ def shards(distinct: DataFrame, most: int) -> DataFrame:
         high = F.expr(f"shiftleft(shiftrightunsigned(rest, (b.band + 1) * {width}), b.band * {width})")
         # the lowest band's neighbour moves down by its width; a shift by 64 would be none
         high = F.when(F.expr(f"(b.band + 1) * {width} >= 64"), F.lit(0).cast("long")).otherwise(high)
-        spread = spread.select("fp", low.bitwiseOR(high).alias("rest"), F.xxhash64("shard", F.lit(left), "b.band", "b.value").alias("shard"))
-        large = spread.groupBy("shard").count().filter(F.col("count") > most).select("shard")
+        own = F.xxhash64("shard", F.lit(left), "b.band", "b.value")
+        spread = spread.select("fp", low.bitwiseOR(high).alias("rest"), own.alias("shard"), F.xxhash64("b.band", F.pmod(own, F.lit(slices(n, tree)))).alias("tree"))
+        if left == 64:
+            # values that are frequent by themselves are shards of their own
+            large = spread.groupBy("shard").count().filter(F.col("count") > tree).select("shard")
+        else:
+            large = spread.groupBy("shard").count().filter(F.col("count") > most).select("shard")
+        name = F.col("tree") if left == 64 else F.col("shard")
         if width == 7 or large.isEmpty():
-            return spread.select("shard", "fp") if done is None else done.unionByName(spread.select("shard", "fp"))
+            spread = spread.select(name.alias("shard"), "fp")
+            return spread if done is None else done.unionByName(spread)
         large, spread = small(cut(large, "large")), cut(spread, "spread")
-        fine = spread.join(large, "shard", "left_anti").select("shard", "fp")
+        fine = spread.join(large, "shard", "left_anti").select(name.alias("shard"), "fp")
         done = fine if done is None else done.unionByName(fine)
-        rows = spread.join(large, "shard", "left_semi")
+        rows = spread.join(large, "shard", "left_semi").drop("tree")
     raise AssertionError
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, most: int = 4096) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE, most: int = MOST) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all pairs within the radius (at most 3)."""
     if not 0 <= radius <= 3:
         raise ValueError("four bands find pairs within three bits")
     n = partitions(distinct.sparkSession)
-    rows = shards(distinct, most)
-    # shards of one fingerprint have no link
+    rows = shards(distinct, tree, most)
     return rows.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_shard_links(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS, most: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS, tree: int = TREE, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs.
 
     A fingerprint bit is 1 if set in over half of the XXH64 (seed 42) of the text's word shingles, repeats included;
@@ -203,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = cut(fingerprints(docs, id_col, text_col, words), "prints")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = connected_components(links(distinct.select("fp"), radius, most))
+    found = connected_components(links(distinct.select("fp"), radius, tree, most))
     named = found.join(distinct, F.col("node") == F.col("fp")).select("fp", "label", "least")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     linked = cut(named.join(least, "label").select("fp", F.col("component_id").alias("over_links")), "linked")

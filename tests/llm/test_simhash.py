@@ -45,7 +45,40 @@ def test_awkward_rows(spark):
 
 
 def test_large_shards_are_cut(spark):
-    check(docs_frame(spark), most=2)
+    check(docs_frame(spark), tree=2, most=2)
+
+
+def test_links_follow_the_edges_of_trees(monkeypatch):
+    """Shards are searched through their trees: without edges the links are lost."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, base[:50] ^ np.uint64(5)]))
+    followed = []
+    find = simhash.BkTree.find
+
+    def counted(self, queries, who, radius):
+        followed.append((len(queries), len(self.fps)))
+        return find(self, queries, who, radius)
+
+    monkeypatch.setattr(simhash.BkTree, "find", counted)
+    linked = simhash.forest(fps)
+    assert linked and sum(q * n for q, n in followed) < 0.8 * len(fps) ** 2 and len(followed) > len(fps) // 8
+    monkeypatch.setattr(simhash.BkTree, "find", lambda self, queries, who, radius: iter(()))
+    assert simhash.forest(fps) == []
+
+
+def test_frequent_band_values_are_dealt_again(spark):
+    rng = random.Random(6)
+    fps = sorted({0xABCD | rng.getrandbits(48) << 16 for _ in range(300)})
+    fps += [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in fps[:80]]
+    distinct = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in sorted(set(fps))], "fp long")
+    found = {(r["a"], r["b"]) for r in simhash.links(distinct, tree=16, most=16).collect()}
+    got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(list(found), "a long, b long")).collect()}
+    signed = lambda f: int(np.uint64(f).view(np.int64))
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 3 and a != b:
+                assert got[signed(a)] == got[signed(b)]
 
 
 def test_generated_table(spark):
@@ -60,7 +93,7 @@ def test_tree_finds_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, *[base ^ np.uint64(1 << int(b)) ^ np.uint64(1 << int(c)) for b, c in rng.integers(0, 63, (20, 2))]]))
-    tree = simhash.BkTree(fps, bucket=4)
+    tree = simhash.BkTree(fps, handful=2)
     got = {(int(a), int(b)) for x, y in tree.find(fps, np.arange(len(fps)), 3) for a, b in zip(x, y, strict=True)}
     assert got == {(i, j) for i in range(len(fps)) for j in range(len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 3}
 
