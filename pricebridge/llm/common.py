@@ -12,11 +12,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN_DIRS: dict[str, str] = {}
 
-#: A DataFrame of keys is broadcast only after its rows have been counted and are at most this many.
-BROADCAST_ROWS = 100_000
+#: A DataFrame is broadcast only after its bytes have been summed up and are at most this many.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="pricebridge-")
@@ -76,9 +79,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more than limit rows; the count stops at the limit."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _width(kind: T.DataType, value: Column) -> Column:
+    """About how many bytes a value takes in a broadcast."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType)):
+        inner = kind.elementType
+        return F.coalesce(F.greatest(F.size(value), F.lit(0)), F.lit(0)) * (8 * (len(inner.fields) + 2) if isinstance(inner, T.StructType) else 8) + 16
+    return F.lit(8) if isinstance(kind, T.NumericType | T.BooleanType) else F.octet_length(F.to_json(F.struct(value.alias("x")))) + 16
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows take no more than `most` bytes. df should be cheap to read twice."""
+    size = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(16))
+    taken = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if taken <= most else df
 
 
 def same(a: Column, b: Column) -> Column:

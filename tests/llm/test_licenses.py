@@ -52,6 +52,34 @@ def test_notices_with_edits(spark):
     assert len(got[4]["spans"]) == 2 and got[1]["spans"][0]["first_word"] == 2
 
 
+def test_parts_and_variants_of_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    agpl = "SPDX-License-Identifier: AGPL-3.0-or-later. This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"
+    free = "This is free and unencumbered software released into the public domain."
+    epl = "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"
+    rows = [(i, "Some words. " + x + " and more", None, None) for i, x in enumerate([bsd, agpl, free, epl, gpl])]
+    got = {r["doc_id"]: r for r in licenses.scan(docs_frame(spark, rows)).collect()}
+    assert [got[i]["labels"] for i in range(5)] == ["bsd", "agpl,gpl", "unlicense", "epl", "gpl"]  # gpl of the phrase that the second holds
+    assert all(sum(s["share"] >= licenses.LEAST_WORDS and s["first_word"] != s["last_word"] for s in got[i]["spans"]) <= 3 for i in range(5))
+
+
+def test_scattered_words_are_no_notice(spark):
+    rows = [
+        (1, "licensed under x licensed under x licensed under x the x mit license", None, None),
+        (2, "released by us under the roof, the terms are fine, of the year, mit einem license plate", None, None),
+        (3, " ".join(["licensed under"] * 50 + ["the"] * 50 + ["mit license"] * 50), None, None),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(docs_frame(spark, rows)).collect()}
+    assert [got[i]["labels"] for i in (1, 2, 3)] == ["", "", ""] and all(got[i]["score"] < 1 for i in (1, 2, 3))
+
+
+def test_spans_are_no_longer_than_their_notice_allows():
+    assert licenses.merged([(0, 2), (3, 2), (6, 2), (9, 2)], 3, 3) == [(0, 3), (6, 9)]
+    assert licenses.merged([(0, 1), (2, 9), (4, 1)], 2, 2) == [(0, 2)] or licenses.merged([(0, 1), (2, 9), (4, 1)], 2, 2) == [(2, 4)]
+    assert licenses.merged([(5, 1)], 3, 2) == [] and licenses.merged([], 3, 0) == []
+
+
 def test_rolling_hashes_are_those_of_their_words():
     texts = [b"a b c a b", b"", b"one", b"x,y;a b", b"  A  B "]
     hashes, ends = licenses.gram_hashes(texts)
