@@ -96,6 +96,18 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if taken <= most else df
 
 
+def numbered(df: DataFrame, *wanted: str) -> tuple:
+    """(df with its columns named c0, c1, ..., the new names of `wanted`, what gives df's own names back to those columns).
+
+    So an operator's columns meet none of df's, whatever these are called.
+    """
+    names = df.columns
+    new = [f"c{i}" for i in range(len(names))]
+    lower = [n.lower() for n in names]
+    found = [new[names.index(w) if w in names else lower.index(w.lower())] for w in wanted]
+    return df.toDF(*new), found, lambda out: out.select(*new).toDF(*names)
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import cut, limit_batches, partitions, small, texts
+from pricebridge.llm.common import cut, limit_batches, numbered, partitions, small, texts
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _DIGEST = "pos long, doc_id long, sha binary, witness long, norm_bytes long, code_points long"
@@ -136,7 +136,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns, whatever these are called.
+
+    Null texts are empty texts, of which one row stays; of rows that repeat one id and text one stays; an empty table gives
+    no rows.
+    """
+    docs, (id_col, text_col), restored = numbered(docs, id_col, text_col)
     marks = cut(exact_dedup(docs, id_col, text_col), "marks")
     gone = marks.filter(~F.col("kept"))
     # ids of which a row stays and a row goes: equal rows under one id. Of these one is kept by its text.
@@ -145,7 +150,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     only = gone.join(both.withColumnRenamed("doc_id", "k"), F.col("doc_id").eqNullSafe(F.col("k")), "left_anti").select(F.col("doc_id").alias("__gone")).distinct()
     out = docs.join(small(only), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
     if both.isEmpty():
-        return out
+        return restored(out)
     ids = small(both.select(F.col("doc_id").alias("__both")))
     plain = out.join(ids, F.col(id_col).eqNullSafe(F.col("__both")), "left_anti")
     twice = out.join(ids, F.col(id_col).eqNullSafe(F.col("__both")), "left_semi")
@@ -157,4 +162,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     once = once.withColumn("__n", F.length(F.coalesce(F.col(text_col), F.lit(""))))
     top = once.groupBy(F.col(id_col).alias("__id"), "__sha").agg(F.max("__n").alias("__n"))
     once = once.alias("o").join(top.alias("m"), F.col(f"o.{id_col}").eqNullSafe(F.col("m.__id")) & (F.col("o.__sha") == F.col("m.__sha")) & (F.col("o.__n") == F.col("m.__n")), "left_semi")
-    return plain.unionByName(once.dropDuplicates([id_col, "__sha"]).drop("__sha", "__n"))
+    return restored(plain.unionByName(once.dropDuplicates([id_col, "__sha"]).drop("__sha", "__n")))

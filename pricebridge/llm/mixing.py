@@ -10,21 +10,18 @@ totals are summed first, so that a source with a third of all rows is many small
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from pricebridge.llm.common import limit_batches
+from pricebridge.llm.common import cut, numbered, small
 
 UNIT_BITS = 24
 UNIT = 1 << UNIT_BITS
 
 
-@F.pandas_udf(LongType())
-def n_words(text: pd.Series) -> pd.Series:
+def n_words(text: str) -> Column:
     """Runs of [^\\x20\\x09-\\x0D]; null has none."""
-    return text.map(lambda t: 0 if t is None else len(t.encode("utf-8", "surrogatepass").split())).astype("int64")
+    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], ratio: float, cap: float) -> DataFrame:
@@ -52,9 +49,8 @@ def mix(rows: DataFrame, size: Column, source_col: str = "source", id_col: str =
     """rows with __size, __source_size, __target, __copies; all their own columns stay.
 
     Rows of size 0 may be emitted too and take no words. A null source is a source. Rows that are equal in id and size
-    are interchangeable, so reruns agree. An empty table gives no rows. Columns that begin with __ must not exist.
+    are interchangeable, so reruns agree. An empty table gives no rows. rows have no columns that begin with __.
     """
-    limit_batches(rows.sparkSession)
     rows = rows.withColumn("__size", size)
     keys = rows.select(F.col(source_col).alias("source"), F.col("__size").alias("size"), F.col(id_col).alias("id"))
     total = keys.agg(F.count("*").alias("n")).first()["n"]
@@ -88,12 +84,19 @@ def taken(docs: DataFrame, **how) -> DataFrame:
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
-def emitted(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every row of documents as often as it is taken, with its own columns."""
-    out = mix(docs, n_words("text"), **how)
-    return _repeat(out, docs.columns)
+def emitted(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+    """The mix itself: every row of documents as often as it is taken, with its own columns, whatever these are called.
 
-
-def _repeat(out: DataFrame, columns: list[str]) -> DataFrame:
-    times = F.array_repeat(F.lit(0), F.col("__copies").cast("int"))
-    return out.filter("__copies > 0").withColumn("__copy", F.explode(times)).select(*(F.col(f"`{c}`") for c in columns))
+    Nulls, empty texts, repeated rows and empty tables are as in mix(). Copies are counted on ids, sources and sizes
+    alone. Where ids are unique they are joined back by these, so that texts move once at most; else they are counted on whole rows.
+    """
+    docs, (id_, source, text), restored = numbered(docs, id_col, source_col, text_col)
+    rows = cut(docs.select(id_, source, n_words(text).alias("n")), "sizes")
+    n, different = rows.agg(F.count("*"), F.count_distinct(id_)).first()
+    own = {"source_col": source, "id_col": id_} | how
+    if n == different:
+        copies = cut(mix(rows, F.col("n"), **own).filter("__copies > 0").select(F.col(id_).alias("__id"), "__copies"), "copies")
+        out = docs.join(small(copies), F.col(id_) == F.col("__id"))
+    else:
+        out = mix(docs, n_words(text), **own).filter("__copies > 0")
+    return restored(out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))))

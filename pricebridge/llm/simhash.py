@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import cut, limit_batches, partitions, slices, small, texts
+from pricebridge.llm.common import cut, limit_batches, numbered, partitions, slices, small, texts
 from pricebridge.llm.components import connected_components
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -224,13 +224,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_least(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose id is that of their component in marks (doc_id, component_id), with all columns.
 
-    Rows that repeat one id stay or go together; a component whose ids are all null stays whole.
+    Rows that repeat one id stay or go together; a component whose ids are all null stays whole. Columns may have any names.
     """
+    docs, (id_col,), restored = numbered(docs, id_col)
     marks = cut(marks, "marks")
     # an id may stand in several components if ids repeat; it goes only where it nowhere stays
     gone = marks.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).filter("NOT stays").select(F.col("doc_id").alias("__gone"))
     gone = cut(gone, "gone")
-    return docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    return restored(docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import limit_batches
+from pricebridge.llm.common import limit_batches, numbered
 
 MOST_DOCS, MOST_BYTES = 2000, 16384
 #: Different words before a word that make it one of toxic text, at least, and how many times as many as in ordinary text.
@@ -269,6 +269,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
-    rows = scored(docs, train(docs, labels, id_col, text_col, **how), text_col, "__score")
-    return rows.filter("__score < 0.5").drop("__score")
+    """The rows of docs that are not predicted toxic, with all their columns, whatever these are called.
+
+    Null and empty texts, ties and repeated rows are scored like any others, equal texts alike; an empty table gives no rows.
+    """
+    model = train(docs, labels, id_col, text_col, **how)
+    docs, (text_col,), restored = numbered(docs, text_col)
+    return restored(scored(docs, model, text_col, "score").filter("score < 0.5"))

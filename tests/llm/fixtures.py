@@ -39,7 +39,7 @@ def clashing(docs):
     from pyspark.sql import functions as F
 
     out = docs
-    for c in ("size", "n", "sha", "pos", "kept", "score", "z", "i", "c", "b", "fp", "label", "value", "rank", "shard", "slot", "core", "at", "u", "v", "id", "target", "ids"):
+    for c in ("size", "n", "sha", "pos", "kept", "score", "z", "i", "c", "b", "fp", "label", "value", "rank", "shard", "slot", "core", "at", "u", "v", "id", "target", "ids", "__score", "__size", "__s", "__sha", "__n", "__gone", "__id", "__copies", "c0", "c1", "SIZE_"):
         out = out.withColumn(c, F.lit("clash"))
     return out
 

@@ -30,3 +30,23 @@ def test_stages_against_brute_force(spark):
 def test_shape():
     assert [f.__module__ for _, f in corpus_pipeline.STAGES] == ["corpus_pipeline"] * 5 and corpus_pipeline.ORACLE_SQL is None
     assert exact_dedup and simhash
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark, tmp_path):
+    """Every filtering stage and the mix keep the columns of documents, whatever else stands there, and stand empty tables."""
+    from pricebridge.llm import similar
+    from tests.llm.fixtures import clashing, docs_frame
+
+    labels = spark.createDataFrame([(i, i % 5 == 0 and 1 or 0) for i in range(40)], "doc_id long, toxic int")
+    docs = clashing(docs_frame(spark))
+    for stage in (lambda d: toxicity.without_toxic(d, labels), exact_dedup.keep_one, similar.keep_one, simhash.keep_one, mixing.emitted):
+        out = stage(docs)
+        assert out.columns == docs.columns and {r["__size"] for r in out.select("__size").collect()} <= {"clash"}
+        assert stage(docs.limit(0)).collect() == []
+
+
+def test_mix_by_unique_ids_is_the_mix(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = [[r["doc_id"]] * (r["taken"] // r["size"]) for r in mixing.taken(docs).collect() if r["size"]]
+    got = [r["doc_id"] for r in mixing.emitted(docs).filter("length(trim(text)) > 0").collect()]
+    assert sorted(got) == sorted(i for x in want for i in x)
