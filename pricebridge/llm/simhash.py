@@ -33,11 +33,11 @@ RADIUS = 3
 HANDFUL, TREE, MOST = 4, 2048, 8192
 
 
-def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a UTF-8 text, unsigned."""
+def shingle_hashes(text: bytes, words: int = 3, seed: int = 42) -> np.ndarray:
+    """The XXH64 of every word shingle of a UTF-8 text, repeats included; A-Z count as a-z, and fewer words are one shingle."""
     split = text.translate(LOWER).split()
     if not split:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(split), len(split)
     if n <= words:
         starts, ends = [0], [len(joined)]
@@ -46,12 +46,21 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
         starts = [0, *accumulate(s + 1 for s in sizes[: n - words])]
         first = sum(sizes[:words]) + words - 1
         ends = list(accumulate((s + 1 for s in sizes[words:]), initial=first))
-    digest, total = xxhash.xxh64_intdigest, len(starts)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes: the bits that over half of them have."""
     set_bits = np.zeros(64, np.int64)
-    for at in range(0, total, 16384):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + 16384], ends[at : at + 16384], strict=True)], np.uint64)
-        set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(set_bits * 2 > total, bitorder="little").tobytes(), "little")
+    for at in range(0, len(hashes), 16384):
+        set_bits += np.unpackbits(hashes[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(set_bits * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a UTF-8 text, unsigned."""
+    return fingerprint_of(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -237,3 +246,14 @@ def keep_least(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id") -> Dat
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs whose id is that of their component, with all columns: one document of each group."""
     return keep_least(docs, near_duplicates(docs, id_col, text_col, **how), id_col)
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """keep_one() by links between texts whose sets of shingles have a Jaccard similarity of at least 0.8.
+
+    Fingerprints and trees propose pairs, which their sets confirm; pairs that differ in more bits than a fingerprint's
+    radius are found by a join on prefixes of the sets (similar.py), which loses none.
+    """
+    from pricebridge.llm import similar
+
+    return keep_least(docs, similar.near_duplicates(docs, id_col, text_col, words), id_col)

@@ -1,9 +1,11 @@
-"""Near copies by the exact similarity of their shingles: an all-pairs join on prefixes.
+"""Near copies by the exact similarity of their shingles, for the SimHash operator.
 
 A text is the set of its five-word shingles (64-bit hashes); two texts are near copies if their sets have a Jaccard
-similarity of at least 0.8. In any one order of all shingles, two such sets share one of their first n - ceil(0.8 n) + 1
-each, so only these are joined, and no pair is lost. Shingles that many texts have stand last in the order, which keeps
-the lists of texts that share one short; which ones they are is counted on a sample and decides about speed alone.
+similarity of at least 0.8. Pairs whose fingerprints BK-trees link are held against each other first. But texts at 0.8
+differ in some ten of 64 bits, far beyond a radius that trees or bands can search, so an all-pairs join on prefixes
+finds the rest: in any one order of all shingles, two such sets share one of their first n - ceil(0.8 n) + 1 each, so
+only these are joined, and no pair is lost. Shingles that many texts have stand last in the order, which keeps the lists
+of texts that share one short; which ones they are is counted on a sample and decides about speed alone.
 
 Pairs that share one are held against each other only if their sizes and places allow the similarity, and link only if
 their whole sets have it. A long list first links its texts with one of them, another in each list; then only pairs of
@@ -13,8 +15,6 @@ texts that no chain of links joins yet are compared. So thousands of near copies
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pricebridge.llm.common import cut, limit_batches, partitions, release, small, texts
 from pricebridge.llm.components import connected_components
-from pricebridge.llm.simhash import LOWER, keep_least
+from pricebridge.llm.simhash import fingerprint_of, links, shingle_hashes
 
 #: The least similarity is FOUR / FIVE; whole numbers, so that a pair at just 0.8 is one.
 FOUR, FIVE = 4, 5
@@ -36,32 +36,37 @@ SHORT, MOST_ROUNDS = 16, 6
 
 def shingles(text: bytes, words: int = 5) -> np.ndarray:
     """The sorted hashes of a text's different word shingles; A-Z count as a-z, and fewer words are one shingle."""
-    split = text.translate(LOWER).split()
-    if not split:
-        return np.zeros(0, np.int64)
-    joined, n = b" ".join(split), len(split)
-    sizes = list(map(len, split))
-    starts = [0, *accumulate(s + 1 for s in sizes[: max(0, n - words)])]
-    ends = accumulate((s + 1 for s in sizes[words:]), initial=sum(sizes[:words]) + min(n, words) - 1)
-    return np.array(sorted({xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)}), np.uint64).view(np.int64)
+    return np.unique(shingle_hashes(text, words)).view(np.int64)
 
 
 def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """pos, doc_id, node (a hash of the whole set, 0 if empty) and hashes of every row."""
+    """pos, doc_id, node (a hash of the whole set, 0 if empty), fp (its fingerprint) and hashes of every row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
         for batch in it:
-            own = [np.sort(shingles(t, words)) for t in texts(batch, "text")]
+            own = [shingles(t, words) for t in texts(batch, "text")]
+            prints = np.array([fingerprint_of(x.view(np.uint64)) for x in own], np.uint64).view(np.int64)
+            own = [np.sort(x) for x in own]
             nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) if len(x) else 0 for x in own], np.uint64).view(np.int64)
             offsets = np.cumsum([0, *map(len, own)]).astype(np.int32)
             hashes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(own)), pa.int64()), batch.column(0), pa.array(nodes), hashes], names=["pos", "doc_id", "node", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(own)), pa.int64()), batch.column(0), pa.array(nodes), pa.array(prints), hashes], names=["pos", "doc_id", "node", "fp", "hashes"])
             at += len(own)
 
     limit_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "pos long, doc_id long, node long, hashes array<long>")
+    return rows.mapInArrow(run, "pos long, doc_id long, node long, fp long, hashes array<long>")
+
+
+def proposed(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that SimHash proposes, from (node, fp): of those with one fingerprint, each with the first, and
+    the first ones of fingerprints that a shard's tree links."""
+    firsts = cut(prints.groupBy("fp").agg(F.min("node").alias("node")), "firsts")
+    with_first = prints.join(firsts.withColumnRenamed("node", "first"), "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    linked = cut(links(firsts.select("fp")).distinct(), "fp-links")
+    end = lambda c, node: firsts.select(F.col("fp").alias(c), F.col("node").alias(node))
+    return with_first.unionByName(linked.withColumnsRenamed({"a": "x", "b": "y"}).join(end("x", "a"), "x").join(end("y", "b"), "y").select("a", "b"))
 
 
 def common_shingles(distinct: DataFrame) -> np.ndarray:
@@ -171,7 +176,7 @@ def _pairs(seed: int | None):
 
 
 def similar_links(distinct: DataFrame) -> DataFrame:
-    """node, label for all nodes of distinct (node, hashes: one row a set) with similar ones: the smallest node that links lead to."""
+    """node, label for all nodes of distinct (node, fp, hashes: one row a set) with similar ones: the smallest node that links lead to."""
     n = partitions(distinct.sparkSession)
     firsts = cut(prefixes(distinct, common_shingles(distinct)), "firsts")
     rows = firsts.select("node", "n", F.posexplode("first").alias("place", "h")).select("h", "node", "n", F.col("place").cast("long").alias("place"))
@@ -181,8 +186,9 @@ def similar_links(distinct: DataFrame) -> DataFrame:
     del rows
     release(distinct.sparkSession)
     long = cut(lists.groupBy("h").count().filter(F.col("count") > SHORT).select("h"), "long")
-    no_links = distinct.sparkSession.createDataFrame([], "a long, b long")
-    links, named = no_links, no_links.toDF("node", "label")
+    # what SimHash proposes and the sets confirm comes first; the join on prefixes is for what is not joined yet
+    found = cut(_similar(cut(proposed(distinct.select("node", "fp")), "proposed"), firsts, distinct), "similar")
+    named = cut(connected_components(found), "named")
     most = 4 * lists.count() + 100_000
     for seed in range(MOST_ROUNDS + 1):
         some = lists if seed == 0 else lists.join(small(long), "h", "left_semi")
@@ -194,8 +200,8 @@ def similar_links(distinct: DataFrame) -> DataFrame:
                 return named
         last = seed > 0 and (left / 2 <= most or seed == MOST_ROUNDS)
         pairs = some.repartition(n, "h").sortWithinPartitions("h", "node").mapInArrow(_pairs(None if last else seed), "a long, b long")
-        links = links.unionByName(cut(_similar(cut(pairs.distinct(), "pairs"), firsts, distinct), "similar"))
-        named = cut(connected_components(links), "named")
+        found = found.unionByName(cut(_similar(cut(pairs.distinct(), "pairs"), firsts, distinct), "similar"))
+        named = cut(connected_components(found), "named")
         if last:
             return named
     raise AssertionError
@@ -231,13 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(sets(docs, id_col, text_col, words), "sets")
     # of rows with one set the first stands for all
     twice = cut(rows.groupBy("node").agg(F.count("*").alias("rows"), F.min("pos").alias("first")).filter("rows > 1").select("node", "first"), "twice")
-    distinct = rows.join(small(twice), "node", "left").filter("first IS NULL OR first = pos").select("node", "hashes")
+    distinct = rows.join(small(twice), "node", "left").filter("first IS NULL OR first = pos").select("node", "fp", "hashes")
     named = similar_links(distinct)
     marks = rows.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     least = marks.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return marks.join(least, "label").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """The rows of docs whose id is that of their component, with all columns: one document of each group."""
-    return keep_least(docs, near_duplicates(docs, id_col, text_col, words), id_col)

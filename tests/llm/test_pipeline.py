@@ -34,12 +34,11 @@ def test_shape():
 
 def test_stages_with_clashing_columns_and_empty_tables(spark, tmp_path):
     """Every filtering stage and the mix keep the columns of documents, whatever else stands there, and stand empty tables."""
-    from pricebridge.llm import similar
     from tests.llm.fixtures import clashing, docs_frame
 
     labels = spark.createDataFrame([(i, i % 5 == 0 and 1 or 0) for i in range(40)], "doc_id long, toxic int")
     docs = clashing(docs_frame(spark))
-    for stage in (lambda d: toxicity.without_toxic(d, labels), exact_dedup.keep_one, similar.keep_one, simhash.keep_one, mixing.emitted):
+    for stage in (lambda d: toxicity.without_toxic(d, labels), exact_dedup.keep_one, simhash.keep_one_similar, simhash.keep_one, mixing.emitted):
         out = stage(docs)
         assert out.columns == docs.columns and {r["__size"] for r in out.select("__size").collect()} <= {"clash"}
         assert stage(docs.limit(0)).collect() == []
