@@ -5,7 +5,7 @@ import corpus_pipeline
 from pricebridge.llm import exact_dedup, mixing, simhash, toxicity
 from tests.llm.fixtures import SMALL, rows_of
 from tests.llm.test_exact_dedup import brute as brute_exact
-from tests.llm.test_simhash import brute as brute_near
+from tests.llm.test_similar import brute as brute_near
 
 
 def test_stages_against_brute_force(spark):
@@ -15,7 +15,7 @@ def test_stages_against_brute_force(spark):
     scorer = toxicity.Scorer(toxicity.train(docs, labels))
     rows = {i: t for i, t in rows.items() if scorer.score((t or "").encode()) < 0.5}
     rows = {i: t for i, t in rows.items() if i in {x[1] for x in brute_exact(list(rows.items()))}}
-    rows = {i: t for i, t in rows.items() if i in {x[2] for x in brute_near(list(rows.items()))}}
+    rows = {i: t for i, t in rows.items() if i in {x[1] for x in brute_near(list(rows.items()))}}
     held = docs
     for _, stage in corpus_pipeline.STAGES[:3]:
         held = stage(spark, held, SMALL)
