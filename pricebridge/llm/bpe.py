@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import limit_batches, texts
+from pricebridge.llm.common import limit_batches, texts, tidied
 
 #: Words of more bytes are merged with a heap.
 LONG = 128
@@ -157,6 +157,12 @@ def _in_pieces(batch: pa.RecordBatch, weights: list[int], most: int = 8 << 20) -
         yield at, batch.num_rows
 
 
+def _encoded(t: Tokenizer, raw: list[bytes]) -> tuple[list[np.ndarray], pa.ListArray]:
+    ids = [t.encode(x.decode("utf-8", "replace")) for x in raw]
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
+    return ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) of every row of docs.
 
@@ -169,12 +175,26 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in it:
             raw = texts(batch, "text")
             for a, b in _in_pieces(batch, [len(x) for x in raw]):
-                ids = [t.encode(x.decode("utf-8", "replace")) for x in raw[a:b]]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _encoded(t, raw[a:b])[1]], names=["doc_id", "ids"])
+
+    limit_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, ids array<int>")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids and text, what the ids decode to, of every row of docs: decode(encode(docs)) in one worker a task, so
+    that its remembered words are held once."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(path)
+        for batch in it:
+            raw = texts(batch, "text")
+            for a, b in _in_pieces(batch, [len(x) for x in raw], 4 << 20):
+                ids, column = _encoded(t, raw[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column, pa.array([t.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "text"])
 
     limit_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, ids array<int>, text string")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -190,4 +210,4 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), col.slice(a, b - a), pa.array(out, pa.string())], names=["doc_id", "ids", "text"])
 
     limit_batches(rows.sparkSession)
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(tidied(run), "doc_id long, ids array<int>, text string")

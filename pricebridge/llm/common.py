@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import re
@@ -119,6 +120,26 @@ def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [b or b"" for b in col.view(kind).to_pylist()]
 
 
+def tidy() -> None:
+    """Give a Python worker's free memory back to the system; workers live on, and the next tasks in them need other things."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
+def tidied(run):
+    """run, a function on a task's batches, and tidy() behind it."""
+
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(it)
+        tidy()
+
+    return whole
+
+
 def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096, most_bytes: int = 16 << 20, weigh=None) -> Iterator[pa.RecordBatch]:
     """Record batches of rows: at most size rows each, and closed early once weigh(row) adds up to most_bytes."""
     held: list[tuple] = []

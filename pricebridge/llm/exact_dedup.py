@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import cut, limit_batches, numbered, partitions, small, texts
+from pricebridge.llm.common import cut, limit_batches, numbered, partitions, small, texts, tidied
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _DIGEST = "pos long, doc_id long, sha binary, witness long, norm_bytes long, code_points long"
@@ -55,7 +55,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             at += len(raw)
 
     limit_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _DIGEST)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), _DIGEST)
 
 
 def _continuations(b: bytes) -> int:
@@ -112,12 +112,12 @@ def merge_runs(table: DataFrame, fan: int = 4, nodes: int | None = None) -> Data
         F.col("doc_id").alias("best_id"), F.col("pos").alias("best_pos"), F.lit(1).cast("long").alias("rows"),
     )
     # each partition's own run first, so that a frequent text leaves it as one record
-    runs = runs.sortWithinPartitions("node", "sha", "witness", "norm_bytes").mapInArrow(_merge, _RUN)
+    runs = runs.sortWithinPartitions("node", "sha", "witness", "norm_bytes").mapInArrow(tidied(_merge), _RUN)
     for r in range(rounds):
         unit = fan**r
         digit = lambda c: F.floor(c / unit) % fan  # noqa: E731, B023
         node = (F.col("node") - digit(F.col("node")) * unit + digit(home) * unit).cast("int")
-        runs = runs.withColumn("node", node).repartitionById(total, F.col("node")).sortWithinPartitions("node", "sha", "witness", "norm_bytes").mapInArrow(_merge, _RUN)
+        runs = runs.withColumn("node", node).repartitionById(total, F.col("node")).sortWithinPartitions("node", "sha", "witness", "norm_bytes").mapInArrow(tidied(_merge), _RUN)
     return runs.drop("node")
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import cut, limit_batches, numbered, partitions, slices, small, texts
+from pricebridge.llm.common import cut, limit_batches, numbered, partitions, slices, small, texts, tidied
 from pricebridge.llm.components import connected_components
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     limit_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 class BkTree:
@@ -208,7 +208,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE, most: int
         raise ValueError("four bands find pairs within three bits")
     n = partitions(distinct.sparkSession)
     rows = shards(distinct, tree, most)
-    return rows.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_shard_links(radius), "a long, b long")
+    return rows.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(tidied(_shard_links(radius)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS, tree: int = TREE, most: int = MOST) -> DataFrame:

@@ -14,7 +14,7 @@ texts that no chain of links joins yet are compared. So thousands of near copies
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import cut, limit_batches, partitions, release, small, texts
+from pricebridge.llm.common import cut, drop_cut, limit_batches, partitions, release, small, texts, tidied
 from pricebridge.llm.components import connected_components
 from pricebridge.llm.simhash import fingerprint_of, links, shingle_hashes
 
@@ -39,24 +39,24 @@ def shingles(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(shingle_hashes(text, words)).view(np.int64)
 
 
-def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """pos, doc_id, node (a hash of the whole set, 0 if empty), fp (its fingerprint) and hashes of every row."""
+def sets(docs: DataFrame, words: int = 5) -> DataFrame:
+    """node (a hash of the whole set, 0 if empty) and hashes (ascending) of every row of doc_id, text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 33
         for batch in it:
-            own = [shingles(t, words) for t in texts(batch, "text")]
-            prints = np.array([fingerprint_of(x.view(np.uint64)) for x in own], np.uint64).view(np.int64)
-            own = [np.sort(x) for x in own]
-            nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) if len(x) else 0 for x in own], np.uint64).view(np.int64)
-            offsets = np.cumsum([0, *map(len, own)]).astype(np.int32)
-            hashes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(own)), pa.int64()), batch.column(0), pa.array(nodes), pa.array(prints), hashes], names=["pos", "doc_id", "node", "fp", "hashes"])
-            at += len(own)
+            own = [np.sort(shingles(t, words)) for t in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(_nodes(own)), _lists_of(own)], names=["node", "hashes"])
 
-    limit_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "pos long, doc_id long, node long, fp long, hashes array<long>")
+    return docs.mapInArrow(tidied(run), "node long, hashes array<long>")
+
+
+def _nodes(own: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x.tobytes()) if len(x) else 0 for x in own], np.uint64).view(np.int64)
+
+
+def _lists_of(own: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, own)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
 
 
 def proposed(prints: DataFrame) -> DataFrame:
@@ -69,35 +69,38 @@ def proposed(prints: DataFrame) -> DataFrame:
     return with_first.unionByName(linked.withColumnsRenamed({"a": "x", "b": "y"}).join(end("x", "a"), "x").join(end("y", "b"), "y").select("a", "b"))
 
 
-def common_shingles(distinct: DataFrame) -> np.ndarray:
+def common_shingles(docs: DataFrame, words: int = 5) -> np.ndarray:
     """Shingles that many texts have, the most frequent last."""
-    some = distinct.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select(F.explode("hashes").alias("h"))
+    some = sets(docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), words).select(F.explode("hashes").alias("h"))
     found = some.groupBy("h").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").collect()
     return np.array([r["h"] for r in reversed(found)], np.int64)
 
 
-def prefixes(distinct: DataFrame, common: np.ndarray) -> DataFrame:
-    """node, n (the set's size) and first, the shingles of its prefix in the order, of every set."""
+def prefixes(docs: DataFrame, common: np.ndarray, words: int = 5) -> DataFrame:
+    """pos, doc_id, node, fp (the set's fingerprint), n (its size) and first (its prefix in the order) of every row of doc_id, text."""
     by_hash = np.argsort(common)
     hot = common[by_hash]
 
+    def prefix(values: np.ndarray) -> np.ndarray:
+        most = len(values) - -(-FOUR * len(values) // FIVE) + 1
+        if len(hot) and len(values):
+            at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
+            values = values[np.argsort(np.where(hot[at] == values, by_hash[at] + 1, 0), kind="stable")]
+        return values[:most]
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pos = TaskContext.get().partitionId() << 33
         for batch in it:
-            nodes, column = batch.column(0).to_numpy(), batch.column(1)
-            values, ends = column.flatten().to_numpy(), column.offsets.to_numpy().astype(np.int64)
-            n = np.diff(ends)
-            which, starts = np.repeat(np.arange(len(n)), n), np.repeat(ends[:-1] - ends[0], n)
-            place = np.arange(len(values)) - starts
-            if len(hot) and len(values):
-                at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
-                later = np.where(hot[at] == values, by_hash[at] + 1, 0)
-                values = values[np.argsort(which * (len(hot) + 1) + later, kind="stable")]
-            most = n - -(-FOUR * n // FIVE) + 1
-            first = values[place < np.repeat(most, n)]
-            offsets = np.concatenate([[0], np.cumsum(np.minimum(most, n))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(first))], names=["node", "n", "first"])
-
-    return distinct.select("node", "hashes").mapInArrow(run, "node long, n long, first array<long>")
+            own = [shingles(t, words) for t in texts(batch, "text")]
+            prints = np.array([fingerprint_of(x.view(np.uint64)) for x in own], np.uint64).view(np.int64)
+            own = [np.sort(x) for x in own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(pos, pos + len(own)), pa.int64()), batch.column(0), pa.array(_nodes(own)), pa.array(prints), pa.array([len(x) for x in own], pa.int64()), _lists_of([prefix(x) for x in own])],
+                names=["pos", "doc_id", "node", "fp", "n", "first"],
+            )
+            pos += len(own)
+
+    return docs.mapInArrow(tidied(run), "pos long, doc_id long, node long, fp long, n long, first array<long>")
 
 
 def _lists(it: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -175,19 +178,20 @@ def _pairs(seed: int | None):
     return run
 
 
-def similar_links(distinct: DataFrame) -> DataFrame:
-    """node, label for all nodes of distinct (node, fp, hashes: one row a set) with similar ones: the smallest node that links lead to."""
+def similar_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, label for all nodes of distinct (node, fp, n, first: one row a set) with similar ones: the smallest node that
+    links lead to. sets_of gives the sets (node, hashes) of nodes."""
     n = partitions(distinct.sparkSession)
-    firsts = cut(prefixes(distinct, common_shingles(distinct)), "firsts")
+    firsts = distinct.select("node", "n", "first")
     rows = firsts.select("node", "n", F.posexplode("first").alias("place", "h")).select("h", "node", "n", F.col("place").cast("long").alias("place"))
     kind = "h long, node long, n long, place long"
     # most shingles stand in one text
-    lists = cut(rows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shared, kind), "lists")
+    lists = cut(rows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(tidied(_shared), kind), "lists")
     del rows
     release(distinct.sparkSession)
     long = cut(lists.groupBy("h").count().filter(F.col("count") > SHORT).select("h"), "long")
     # what SimHash proposes and the sets confirm comes first; the join on prefixes is for what is not joined yet
-    found = cut(_similar(cut(proposed(distinct.select("node", "fp")), "proposed"), firsts, distinct), "similar")
+    found = _similar(cut(proposed(distinct.select("node", "fp")), "proposed"), firsts, sets_of)
     named = cut(connected_components(found), "named")
     most = 4 * lists.count() + 100_000
     for seed in range(MOST_ROUNDS + 1):
@@ -199,32 +203,44 @@ def similar_links(distinct: DataFrame) -> DataFrame:
             if not left:
                 return named
         last = seed > 0 and (left / 2 <= most or seed == MOST_ROUNDS)
-        pairs = some.repartition(n, "h").sortWithinPartitions("h", "node").mapInArrow(_pairs(None if last else seed), "a long, b long")
-        found = found.unionByName(cut(_similar(cut(pairs.distinct(), "pairs"), firsts, distinct), "similar"))
+        pairs = some.repartition(n, "h").sortWithinPartitions("h", "node").mapInArrow(tidied(_pairs(None if last else seed)), "a long, b long")
+        found = found.unionByName(_similar(cut(pairs.distinct(), "pairs"), firsts, sets_of))
         named = cut(connected_components(found), "named")
+        release(distinct.sparkSession)
         if last:
             return named
     raise AssertionError
 
 
-def _beside(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """pairs with the columns of rows for a, as struct x, and for b, as struct y."""
+def _beside(pairs: DataFrame, rows: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """pairs with the columns of rows(nodes) for a, as struct x, and for b, as struct y; and what has been written for that."""
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    own = cut(rows.join(small(nodes), "node", "left_semi"), "own")
+    own = cut(rows(nodes), "own")
     whole = lambda node, name: own.select(F.col("node").alias(node), F.struct(*(c for c in own.columns if c != "node")).alias(name))
-    return pairs.join(whole("a", "x"), "a").join(whole("b", "y"), "b")
+    return pairs.join(whole("a", "x"), "a").join(whole("b", "y"), "b"), [nodes, own]
 
 
-def _similar(pairs: DataFrame, firsts: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The pairs whose sets have the similarity.
+def _similar(pairs: DataFrame, firsts: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs whose sets have the similarity, written; pairs, which have been written too, are deleted.
 
     What two sets share stands in both prefixes or, for one of them, behind its prefix. That bounds it by far shorter
     arrays than the sets, and few pairs but similar ones reach the sets.
     """
     behind = F.greatest(F.col("x.n") - F.size("x.first"), F.col("y.n") - F.size("y.first"))
-    near = _beside(pairs, firsts).filter((FOUR + FIVE) * (F.size(F.array_intersect("x.first", "y.first")) + behind) >= FOUR * (F.col("x.n") + F.col("y.n")))
-    both = _beside(cut(near.select("a", "b"), "near"), distinct)
-    return both.filter((FOUR + FIVE) * F.size(F.array_intersect("x.hashes", "y.hashes")) >= FOUR * (F.size("x.hashes") + F.size("y.hashes"))).select("a", "b")
+    beside, made = _beside(pairs, lambda nodes: firsts.join(small(nodes), "node", "left_semi"))
+    near = beside.filter((FOUR + FIVE) * (F.size(F.array_intersect("x.first", "y.first")) + behind) >= FOUR * (F.col("x.n") + F.col("y.n")))
+    near = cut(near.select("a", "b"), "near")
+    for done in (pairs, *made):
+        drop_cut(done)
+    del beside
+    release(near.sparkSession)
+    both, made = _beside(near, sets_of)
+    out = cut(both.filter((FOUR + FIVE) * F.size(F.array_intersect("x.hashes", "y.hashes")) >= FOUR * (F.size("x.hashes") + F.size("y.hashes"))).select("a", "b"), "similar")
+    for done in (near, *made):
+        drop_cut(done)
+    del both
+    release(out.sparkSession)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -232,13 +248,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows whose sets of word shingles have a Jaccard similarity of at least 0.8 are linked, and texts without words, null
     and empty ones too, with each other. component_id is the smallest id reachable over links, the own one included; null
-    only where all ids of a component are null. Exact but for collisions of 64-bit hashes.
+    only where all ids of a component are null. Exact but for collisions of 64-bit hashes. Of every text only the prefix
+    is written; the sets of texts that may be similar are made from their texts again.
     """
-    rows = cut(sets(docs, id_col, text_col, words), "sets")
+    limit_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = cut(prefixes(docs, common_shingles(docs, words), words), "prefixes")
+    release(docs.sparkSession)
     # of rows with one set the first stands for all
-    twice = cut(rows.groupBy("node").agg(F.count("*").alias("rows"), F.min("pos").alias("first")).filter("rows > 1").select("node", "first"), "twice")
-    distinct = rows.join(small(twice), "node", "left").filter("first IS NULL OR first = pos").select("node", "fp", "hashes")
-    named = similar_links(distinct)
+    twice = cut(rows.groupBy("node").agg(F.count("*").alias("rows"), F.min("pos").alias("first_pos")).filter("rows > 1").select("node", "first_pos"), "twice")
+    distinct = rows.join(small(twice), "node", "left").filter("first_pos IS NULL OR first_pos = pos").drop("first_pos")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        ids = cut(distinct.join(small(nodes), "node", "left_semi").select(F.col("doc_id").alias("id")).distinct(), "ids")
+        own = sets(docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), words)
+        return own.join(small(nodes), "node", "left_semi").dropDuplicates(["node"])
+
+    named = similar_links(distinct, sets_of)
     marks = rows.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     least = marks.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return marks.join(least, "label").select("doc_id", "component_id")

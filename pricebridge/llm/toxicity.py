@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricebridge.llm.common import limit_batches, numbered
+from pricebridge.llm.common import limit_batches, numbered, tidy
 
 MOST_DOCS, MOST_BYTES = 2000, 16384
 #: Different words before a word that make it one of toxic text, at least, and how many times as many as in ordinary text.
@@ -251,6 +251,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "s
         scorer = Scorer(model)
         for s in parts:
             yield pd.Series([scorer.score(t.encode("utf-8", "surrogatepass") if t is not None else b"") for t in s], dtype="float64")
+        del scorer
+        tidy()
 
     limit_batches(docs.sparkSession)
     return docs.withColumn(name, F.pandas_udf("double")(run)(F.col(text_col).cast("string")))

@@ -68,3 +68,11 @@ def test_null_ids_and_empty_table(spark):
     rows = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert rows_of(bpe.decode(rows, PATH)) == [[1, None, None], [2, [], ""]]
     assert bpe.encode(docs_frame(spark, []), PATH).collect() == []
+
+
+def test_round_trip_is_encoding_and_decoding(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = docs_frame(spark)
+    want = bpe.decode(bpe.encode(docs, path), path)
+    assert rows_of(bpe.round_trip(docs, path), "doc_id", "ids", "text") == rows_of(want, "doc_id", "ids", "text")
+    assert bpe.round_trip(docs.limit(0), path).collect() == []
