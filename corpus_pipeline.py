@@ -47,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the hash of what they decode to, for every row; empty texts have no ids."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = bpe.decode(bpe.encode(docs, path), path)
+    rows = bpe.round_trip(docs, path)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
