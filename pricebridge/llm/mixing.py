@@ -79,7 +79,7 @@ def mix(rows: DataFrame, size: Column, source_col: str = "source", id_col: str =
 
 def taken(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of documents."""
-    rows = docs.select("doc_id", "source", n_words("text").alias("n"))
+    rows = cut(docs.select("doc_id", "source", n_words("text").alias("n")), "sizes")  # the texts are read once
     out = mix(rows, F.col("n"), **how)
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
