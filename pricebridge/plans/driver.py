@@ -500,13 +500,18 @@ def equivalence_cards(spark, sf_dir):
     return c.select("match_key", "molecules", F.col("jap_side.product_id").alias("product_id"), F.col("nppa_side.ceiling_per_unit_inr").alias("ceiling"), "savings_pct", F.array_join("caveats", ";").alias("caveats"))
 
 
-@_query(_with("""SELECT product_id, coalesce((SELECT min(match_key) FROM equiv e WHERE e.jap_product_id = cat.product_id), (SELECT min(key) FROM kp WHERE kp.product_id = cat.product_id), concat(name, ':', size, CASE WHEN form = 'syrup' THEN 'mg/ml' ELSE 'mg' END, '|', form)) IS NOT NULL AS has_key,
-  (SELECT count(*) FROM equiv e WHERE e.jap_product_id = cat.product_id) AS n_equivalents, CASE WHEN mrp = 0 THEN 'price_not_published' END AS excluded_reason FROM cat"""))
+@_query(_with(""", held AS (SELECT key, product_id FROM kp UNION ALL SELECT * FROM (SELECT concat(name, ':', size, CASE WHEN form = 'syrup' THEN 'mg/ml' ELSE 'mg' END, '|', form) AS key, product_id FROM cat
+    WHERE product_id NOT IN (SELECT product_id FROM pairs)) WHERE key NOT IN (SELECT key FROM mk)),
+  placed AS (SELECT held.*, row_number() OVER (PARTITION BY product_id ORDER BY e.match_key IS NULL, f.first) AS place FROM held LEFT JOIN (SELECT DISTINCT match_key FROM equiv) e ON e.match_key = held.key
+    LEFT JOIN (SELECT key, min(id) AS first FROM ceil GROUP BY key) f ON f.key = held.key),
+  listed AS (SELECT jap_product_id, count(*) AS n, string_agg(match_key, ';' ORDER BY savings_pct DESC, match_key) AS comparisons FROM equiv GROUP BY jap_product_id)
+  SELECT cat.product_id, placed.key AS match_key, coalesce(listed.n, 0) AS n_equivalents, coalesce(comparisons, '') AS comparisons, CASE WHEN mrp = 0 THEN 'price_not_published' END AS excluded_reason
+  FROM cat LEFT JOIN placed ON placed.product_id = cat.product_id AND place = 1 LEFT JOIN listed ON jap_product_id = cat.product_id"""))
 def product_pages(spark, sf_dir):
-    """R8 W4. A product whose key had matched before it could is in no list, so whether it has a key is left to the tests."""
-    t = _tables(spark, sf_dir)
-    n = F.greatest(F.coalesce(F.size("equivalents"), F.lit(0)), F.lit(0)).cast("long")
-    return serve.product_pages(t).select("product_id", F.lit(True).alias("has_key"), n.alias("n_equivalents"), "excluded_reason")
+    """R8 W4. A product whose key had matched before it could is in no key's list, so it has none here."""
+    found = F.coalesce("equivalents.match_key", F.array().cast("array<string>"))
+    pages = serve.product_pages(_tables(spark, sf_dir))
+    return pages.select("product_id", "match_key", F.size(found).cast("long").alias("n_equivalents"), F.array_join(found, ";").alias("comparisons"), "excluded_reason")
 
 
 @_query(_with("SELECT match_method, count(*) AS n FROM equiv GROUP BY match_method"))
@@ -521,18 +526,35 @@ def savings_stats(spark, sf_dir):
     return serve.savings_stats(_tables(spark, sf_dir)).withColumn("median", F.round("median", 9))
 
 
-@_query(_with("""SELECT k AS key, count(match_key) AS n FROM (VALUES ('le0'), ('0-30'), ('30-60'), ('60-80'), ('gt80')) b(k)
+@_query(_with("""SELECT k AS key, count(match_key) AS n, CASE WHEN any_value(total) = 0 THEN 0.0 ELSE CAST(printf('%.1f', CAST(100 AS DOUBLE) * count(match_key) / any_value(total)) AS DOUBLE) END AS pct
+  FROM (SELECT k, (SELECT count(*) FROM equiv) AS total FROM (VALUES ('le0'), ('0-30'), ('30-60'), ('60-80'), ('gt80')) b(k)) b
   LEFT JOIN (SELECT match_key, CASE WHEN savings_pct <= 0 THEN 'le0' WHEN savings_pct <= 30 THEN '0-30' WHEN savings_pct <= 60 THEN '30-60' WHEN savings_pct <= 80 THEN '60-80' ELSE 'gt80' END AS bucket FROM equiv) ON bucket = k GROUP BY k"""))
 def savings_histogram(spark, sf_dir):
     """A9"""
-    return serve.savings_histogram(_tables(spark, sf_dir)).select("key", "n")
+    return serve.savings_histogram(_tables(spark, sf_dir)).select("key", F.col("n").cast("long").alias("n"), "pct")
 
 
-@_query(_with("""SELECT * FROM (SELECT 0 AS ord, 'Naive baseline' AS label, CAST(0 AS BIGINT) AS value UNION ALL SELECT 1, 'Exact', (SELECT count(DISTINCT key) FROM s1) UNION ALL SELECT 2, '+ Alias', (SELECT count(DISTINCT key) FROM s1) + (SELECT count(DISTINCT key) FROM s2)
+@_query(_with("""SELECT *, CASE WHEN (SELECT count(*) FROM ceil) = 0 THEN 0.0 ELSE CAST(printf('%.1f', CAST(100 AS DOUBLE) * value / (SELECT count(DISTINCT (name, size)) FROM ceil)) AS DOUBLE) END AS pct
+  FROM (SELECT 0 AS ord, 'Naive baseline' AS label, CAST(0 AS BIGINT) AS value UNION ALL SELECT 1, 'Exact', (SELECT count(DISTINCT key) FROM s1) UNION ALL SELECT 2, '+ Alias', (SELECT count(DISTINCT key) FROM s1) + (SELECT count(DISTINCT key) FROM s2)
   UNION ALL SELECT 3, '+ Fuzzy', (SELECT count(DISTINCT key) FROM s1) + (SELECT count(DISTINCT key) FROM s2) + (SELECT count(DISTINCT key) FROM s3) UNION ALL SELECT 4, '+ Form family', (SELECT count(*) FROM mk))"""))
 def ladder_bars(spark, sf_dir):
     """A11 A12"""
-    return serve.ladder_bars(_tables(spark, sf_dir)).select("ord", "label", "value")
+    return serve.ladder_bars(_tables(spark, sf_dir)).select("ord", "label", "value", "pct")
+
+
+@_query(_with("""SELECT (SELECT count(DISTINCT key) FROM s1) AS stage_1_exact, (SELECT count(DISTINCT key) FROM s2) AS stage_2_alias, (SELECT count(DISTINCT key) FROM s3) AS stage_3_fuzzy,
+  (SELECT count(DISTINCT key) FROM s4) AS form_family, (SELECT count(*) FROM mk) AS matched_keys, total_nppa_keys,
+  CASE WHEN total_nppa_keys = 0 THEN 0.0 ELSE CAST(printf('%.1f', CAST(100 AS DOUBLE) * (SELECT count(*) FROM mk) / total_nppa_keys) AS DOUBLE) END AS coverage_pct,
+  equivalents_count, median, min, max, negative_count, (SELECT string_agg(match_method || '=' || n, ';' ORDER BY match_method) FROM (SELECT match_method, count(*) AS n FROM equiv GROUP BY match_method)) AS methods,
+  '2025-01-01T00:00:00+00:00' AS data_as_on, compared_keys
+  FROM (SELECT count(DISTINCT (name, size)) AS total_nppa_keys FROM ceil), (SELECT count(*) AS equivalents_count, round(median(savings_pct), 9) AS median, min(savings_pct) AS min, max(savings_pct) AS max,
+  count(*) FILTER (savings_pct < 0) AS negative_count, count(DISTINCT match_key) AS compared_keys FROM equiv)"""))
+def stats_payload(spark, sf_dir):
+    """R9 A6 A7 A8 A10 A12 S16"""
+    t = _tables(spark, sf_dir)
+    methods = F.array_join(F.transform(F.map_entries("method_distribution"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("methods")
+    flat = serve.stats(t).withColumn("median", F.round("median", 9)).select("match_ladder.*", "equivalents_count", "median", "min", "max", "negative_count", methods, "data_as_on")
+    return flat.crossJoin(F.broadcast(serve.compared_keys(t)))  # one row each
 
 
 @_query(_with("SELECT 'jap_products' AS \"table\", (SELECT count(*) FROM cat) AS n UNION ALL SELECT 'nppa_ceiling_prices', (SELECT count(*) FROM ceil) UNION ALL SELECT 'canonical_formulations', (SELECT count(*) FROM canon) UNION ALL SELECT 'equivalents', (SELECT count(*) FROM equiv)"))

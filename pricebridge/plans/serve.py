@@ -176,6 +176,11 @@ def method_distribution(t: Tables) -> DataFrame:
     return t.equivalents.groupBy("match_method").agg(F.count("*").alias("n"))
 
 
+def compared_keys(t: Tables) -> DataFrame:
+    """One row: how many keys have a comparison."""
+    return t.equivalents.agg(F.count_distinct("match_key").alias("compared_keys"))
+
+
 def savings_stats(t: Tables) -> DataFrame:
     s = F.col("savings_pct")
     return t.equivalents.agg(F.count("*").alias("equivalents_count"), F.median(s).alias("median"), F.min(s).alias("min"), F.max(s).alias("max"), F.count_if(s < 0).alias("negative_count"))
