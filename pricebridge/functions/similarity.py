@@ -49,6 +49,11 @@ def ratio_column(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def near_lengths(a: Column, b: Column, least: float) -> Column:
+    """Whether ratio() can be least at all: it is no more than if all letters of the shorter text stood in the longer."""
+    return F.least(F.length(a), F.length(b)) * 200.0 >= (F.length(a) + F.length(b)) * F.lit(least)
+
+
 def partial_column(query: str, text: Column) -> Column:
     """partial() of a fixed query with a column, and with each of its parts between pluses: the best."""
 

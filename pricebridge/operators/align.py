@@ -90,9 +90,11 @@ def price_exclusions(matches: DataFrame, products: DataFrame, equivalents: DataF
     return reasons.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def with_ids(df: DataFrame, *order: str, name: str = "id", parts: int = 64) -> DataFrame:
-    """df with gapless ids from 1 in the given order, without a sort in one task: ranges are counted, then numbered."""
+def with_ids(df: DataFrame, *order: str, name: str = "id", parts: int | None = None) -> DataFrame:
+    """df with gapless ids from 1 in the given order, without a sort in one task: ranges, by default as many as the session's
+    shuffle partitions, are counted, then numbered."""
     spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = settle(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "ranged")
     counts = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("lo")).orderBy("__part").collect()  # a row per range
     starts, total = [], 0

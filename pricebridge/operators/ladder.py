@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricebridge.functions.similarity import ratio_column
+from pricebridge.functions.similarity import near_lengths, ratio_column
 from pricebridge.store import settle
 
 ACCEPT, REVIEW, REVIEW_ROWS = 92.0, 85.0, 200
@@ -77,7 +77,8 @@ def run_ladder(products: DataFrame, ceilings: DataFrame) -> Ladder:
 
     singles = F.col("n_strength_set") == F.col("j_strength_set")
     block = n2.filter(F.size("n_molecules_alias") == 1).join(j2.filter(F.size("j_molecules_alias") == 1), singles & (F.col("n_form") == F.col("j_form")))
-    scored = block.withColumn("score", ratio_column(F.get("n_molecules_alias", F.lit(0)), F.get("j_molecules_alias", F.lit(0)))).filter("score > 0")
+    one, other = F.get("n_molecules_alias", F.lit(0)), F.get("j_molecules_alias", F.lit(0))
+    scored = block.filter(near_lengths(one, other, REVIEW)).withColumn("score", ratio_column(one, other)).filter(F.col("score") >= REVIEW)  # less is never used
     best = settle(scored.withColumn("place", F.row_number().over(Window.partitionBy("n_row_id").orderBy(F.desc("score"), "j_product_id"))).filter("place = 1"), "near")
     good = (F.col("score") >= ACCEPT) & ~_spelt(F.col("n_modifiers"), F.col("j_modifiers"))
     stage3 = _pairs(best.filter(good), FUZZY, F.lit(False))

@@ -85,8 +85,8 @@ def unpivoted(row: DataFrame) -> DataFrame:
 
 
 def write_rejects(rejects: DataFrame, path: str, *columns: str) -> None:
-    """A CSV with a header, even if empty; null ids are empty cells. Rejects are few, so one file holds them."""
-    rejects.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+    """A CSV with a header, even if empty; null ids are empty cells. One file a partition: nothing bounds rejects."""
+    rejects.select(*columns).write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> None:

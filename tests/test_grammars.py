@@ -198,3 +198,46 @@ def test_common_is_the_longest_subsequence(a, b):
             table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
     assert similarity.common(a, b) == table[-1][-1]
     assert similarity.partial(a, b) == similarity.partial(b, a)
+
+
+_FEW = st.text("abcd ", max_size=9)
+
+
+def _subsequence(a, b):
+    """Length of the longest common subsequence, by its definition."""
+    if not a or not b:
+        return 0
+    if a[0] == b[0]:
+        return 1 + _subsequence(a[1:], b[1:])
+    return max(_subsequence(a[1:], b), _subsequence(a, b[1:]))
+
+
+@settings(max_examples=150, deadline=None)
+@given(_FEW, _FEW)
+def test_ratio_by_definition(a, b):
+    if a or b:
+        assert similarity.ratio(a, b) == pytest.approx(200 * _subsequence(a, b) / (len(a) + len(b)))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abcd", min_size=1, max_size=6), st.text("abcd", min_size=1, max_size=9))
+def test_partial_by_all_windows(a, b):
+    def best(short, long):
+        n = len(short)
+        windows = [long[max(0, x) : x + n] for x in range(1 - n, len(long))]
+        return max(similarity.ratio(short, w) for w in windows)
+
+    short, long = sorted((a, b), key=len)
+    want = best(short, long) if len(short) < len(long) else max(best(a, b), best(b, a))
+    assert similarity.partial(a, b) == pytest.approx(want)
+
+
+def test_length_bound_loses_no_near_pair(spark):
+    texts = ["", "a", "ab", "amoxicillin", "amoxycillin", "amoxicillins", "amoxicillin x", "amoxicillin sodium", "é" * 17, "é" * 23, "é" * 24]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    got = rows.select("a", "b", similarity.near_lengths(F.col("a"), F.col("b"), 85.0).alias("kept")).collect()
+    assert all(r["kept"] for r in got if similarity.ratio(r["a"], r["b"]) >= 85) and not all(r["kept"] for r in got)
+
+
+def test_marks_in_a_name_are_no_brackets():
+    assert composition.read_name("Paracetamol \x007\x00 Tablets 500 mg").form == "Tablets"
