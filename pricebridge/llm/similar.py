@@ -204,8 +204,11 @@ def similar_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
                 return named
         last = seed > 0 and (left / 2 <= most or seed == MOST_ROUNDS)
         pairs = some.repartition(n, "h").sortWithinPartitions("h", "node").mapInArrow(tidied(_pairs(None if last else seed)), "a long, b long")
-        found = found.unionByName(_similar(cut(pairs.distinct(), "pairs"), firsts, sets_of))
-        named = cut(connected_components(found), "named")
+        # the labels stand for all links before
+        found = _similar(cut(pairs.distinct(), "pairs"), firsts, sets_of)
+        before, named = named, cut(connected_components(named.toDF("a", "b").unionByName(found)), "named")
+        for done in (before, found):
+            drop_cut(done)
         release(distinct.sparkSession)
         if last:
             return named
