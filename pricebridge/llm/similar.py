@@ -7,8 +7,9 @@ finds the rest: in any one order of all shingles, two such sets share one of the
 only these are joined, and no pair is lost. Shingles that many texts have stand last in the order, which keeps the lists
 of texts that share one short; which ones they are is counted on a sample and decides about speed alone.
 
-Pairs that share one are held against each other only if their sizes and places allow the similarity, and link only if
-their whole sets have it. A long list first links its texts with one of them, another in each list; then only pairs of
+Pairs that share one are held against each other only if their sizes, places and sketches allow the similarity, and link
+only if their whole sets have it. A sketch has a bit for each of 256 values of a shingle's low bits: whether an odd number of
+the set's shingles has the value. Two sketches differ in no more bits than their sets in shingles, so no pair is lost. A long list first links its texts with one of them, another in each list; then only pairs of
 texts that no chain of links joins yet are compared. So thousands of near copies do not make their square of pairs.
 """
 
@@ -32,6 +33,8 @@ FOUR, FIVE = 4, 5
 SAMPLE, COMMON, MOST_COMMON = 8, 8, 50_000
 #: Lists of more texts than this are linked round by round.
 SHORT, MOST_ROUNDS = 16, 6
+#: The columns of a sketch, 64 bits each.
+SKETCH = ["s0", "s1", "s2", "s3"]
 
 
 def shingles(text: bytes, words: int = 5) -> np.ndarray:
@@ -59,6 +62,12 @@ def _lists_of(own: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
 
 
+def _sketches(own: list[np.ndarray]) -> list[pa.Array]:
+    """The columns SKETCH of sets."""
+    odd = np.array([np.bincount(x & 255, minlength=256) & 1 for x in own], np.uint8).reshape(-1, 256)
+    return [pa.array(c) for c in np.packbits(odd, axis=1).view(np.int64).T.copy()]
+
+
 def proposed(prints: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes that SimHash proposes, from (node, fp): of those with one fingerprint, each with the first, and
     the first ones of fingerprints that a shard's tree links."""
@@ -77,7 +86,7 @@ def common_shingles(docs: DataFrame, words: int = 5) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, common: np.ndarray, words: int = 5) -> DataFrame:
-    """pos, doc_id, node, fp (the set's fingerprint), n (its size) and first (its prefix in the order) of every row of doc_id, text."""
+    """pos, doc_id, node, fp (the set's fingerprint), n (its size), first (its prefix in the order) and its sketch of every row of doc_id, text."""
     by_hash = np.argsort(common)
     hot = common[by_hash]
 
@@ -95,12 +104,12 @@ def prefixes(docs: DataFrame, common: np.ndarray, words: int = 5) -> DataFrame:
             prints = np.array([fingerprint_of(x.view(np.uint64)) for x in own], np.uint64).view(np.int64)
             own = [np.sort(x) for x in own]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(pos, pos + len(own)), pa.int64()), batch.column(0), pa.array(_nodes(own)), pa.array(prints), pa.array([len(x) for x in own], pa.int64()), _lists_of([prefix(x) for x in own])],
-                names=["pos", "doc_id", "node", "fp", "n", "first"],
+                [pa.array(range(pos, pos + len(own)), pa.int64()), batch.column(0), pa.array(_nodes(own)), pa.array(prints), pa.array([len(x) for x in own], pa.int64()), _lists_of([prefix(x) for x in own]), *_sketches(own)],
+                names=["pos", "doc_id", "node", "fp", "n", "first", *SKETCH],
             )
             pos += len(own)
 
-    return docs.mapInArrow(tidied(run), "pos long, doc_id long, node long, fp long, n long, first array<long>")
+    return docs.mapInArrow(tidied(run), "pos long, doc_id long, node long, fp long, n long, first array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def _lists(it: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -147,9 +156,12 @@ def _pairs(seed: int | None):
     """(a, b) of a list's texts that may be similar and bear different labels: all pairs of a short list or without a seed, else those with one text."""
 
     def of(x: np.ndarray, i: int, js: np.ndarray) -> tuple[int, np.ndarray]:
-        _, node, n, place, label = x
+        _, node, n, place, label = x[:5]
+        sketch = x[5:].view(np.uint64)
         least = np.minimum(n[i] - place[i], n[js] - place[js])  # shingles that both can have, if this is the first
-        return node[i], node[js[(label[js] != label[i]) & ((FOUR + FIVE) * least >= FOUR * (n[i] + n[js]))]]
+        js = js[((label[js] != label[i]) & ((FOUR + FIVE) * least >= FOUR * (n[i] + n[js])))]
+        apart = np.bitwise_count(sketch[:, js] ^ sketch[:, i, None]).sum(0, dtype=np.int64)  # at least so many shingles have only one of them
+        return node[i], node[js[(FOUR + FIVE) * apart <= (FIVE - FOUR) * (n[i] + n[js])]]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
@@ -179,14 +191,15 @@ def _pairs(seed: int | None):
 
 
 def similar_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node, label for all nodes of distinct (node, fp, n, first: one row a set) with similar ones: the smallest node that
+    """node, label for all nodes of distinct (node, fp, n, first, SKETCH: one row a set) with similar ones: the smallest node that
     links lead to. sets_of gives the sets (node, hashes) of nodes."""
     n = partitions(distinct.sparkSession)
     firsts = distinct.select("node", "n", "first")
     rows = firsts.select("node", "n", F.posexplode("first").alias("place", "h")).select("h", "node", "n", F.col("place").cast("long").alias("place"))
     kind = "h long, node long, n long, place long"
     # most shingles stand in one text
-    lists = cut(rows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(tidied(_shared), kind), "lists")
+    lists = rows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(tidied(_shared), kind)
+    lists = cut(lists.join(distinct.select("node", *SKETCH), "node").select("h", "node", "n", "place", *SKETCH), "lists")
     del rows
     release(distinct.sparkSession)
     long = cut(lists.groupBy("h").count().filter(F.col("count") > SHORT).select("h"), "long")
@@ -196,7 +209,7 @@ def similar_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     most = 4 * lists.count() + 100_000
     for seed in range(MOST_ROUNDS + 1):
         some = lists if seed == 0 else lists.join(small(long), "h", "left_semi")
-        some = some.join(named, "node", "left").select("h", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+        some = some.join(named, "node", "left").select("h", "node", "n", "place", F.coalesce("label", "node").alias("label"), *SKETCH)
         if seed:
             classes = some.groupBy("h", "label").count().groupBy("h").agg((F.sum("count") ** 2 - F.sum(F.col("count") ** 2)).alias("apart"))
             left = classes.agg(F.sum("apart")).first()[0] or 0

@@ -92,3 +92,18 @@ def test_rows_of_shared_shingles_over_batches():
         parts = [similar._batch(rows[:, a:b]) for a, b in zip([0, *cuts], [*cuts, len(h)], strict=True)]
         got = pa.Table.from_batches(list(similar._shared(iter(parts))), parts[0].schema)["node"].to_pylist()
         assert got == [i for i in range(len(h)) if (h == h[i]).sum() > 1]
+
+
+def test_sketches_rule_out_pairs_and_lose_none():
+    """Texts of one list that share much but less than 0.8: nearly all of their pairs were joined and compared."""
+    rng = random.Random(9)
+    base = [f"b{j}" for j in range(200)]
+    own = [np.sort(similar.shingles(edited(rng, base, edits).encode())) for edits in [2] * 20 + [14] * 60]
+    m = len(own)
+    rows = [pa.array(np.zeros(m, np.int64)), pa.array(range(m)), pa.array([len(x) for x in own]), pa.array(np.zeros(m, np.int64)), pa.array(range(m)), *similar._sketches(own)]
+    batch = pa.RecordBatch.from_arrays(rows, names=["h", "node", "n", "place", "label", *similar.SKETCH])
+    got = {(r["a"], r["b"]) for out in similar._pairs(None)([batch]) for r in out.to_pylist()}
+    overlap = {(i, j): len(np.intersect1d(own[i], own[j])) for i in range(m) for j in range(i + 1, m)}
+    like = {(i, j) for (i, j), k in overlap.items() if 9 * k >= 4 * (len(own[i]) + len(own[j]))}
+    assert like and like <= got
+    assert len(got) < len(like) + 300 < len(overlap)
